@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -144,13 +145,24 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, doc long, first int, last int, twice boolean")
 
 
-SEGMENT = "key long, doc long, first int, words binary, found boolean"
+SEGMENT = "key long, doc long, first int, words binary, found int"
 
 
-def _with_texts(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def _runs(at: list[int]) -> list[tuple[int, int]]:
+    """Ascending numbers as (first, count) of consecutive ones."""
+    out: list[tuple[int, int]] = []
+    for i in at:
+        if out and sum(out[-1]) == i:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((i, 1))
+    return out
+
+
+def _with_texts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of the wanted segments. Hot ones become single windows; of equal windows in a batch only the first goes on, the
-    others come out as found."""
-    rows = texts.join(wanted, "doc").select("doc", "text", "wanted")
+    others come out as found: `found` of them from `first` on."""
+    rows = rows.join(wanted, "_doc").select(*rows.columns, "wanted")  # all columns, so that the final join reuses this exchange
 
     def run(batches):
         import pyarrow as pa
@@ -158,21 +170,26 @@ def _with_texts(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         for b in batches:
             key, doc, first, text, found = [], [], [], [], []
             seen: set[bytes] = set()
-            for d, t, wanted in sorted(zip(*(b[c].to_pylist() for c in ("doc", "text", "wanted")), strict=True), key=lambda r: r[0]):
-                words = _WORD.findall(t.encode())
+            for d, t, wanted in sorted(zip(*(b[c].to_pylist() for c in ("_doc", "text", "wanted")), strict=True), key=lambda r: r[0]):
+                words = _WORD.findall((t or "").encode())
                 for s in sorted(wanted, key=lambda s: s["first"]):
                     if not s["hot"]:
-                        key.append(s["key"]), doc.append(d), first.append(s["first"]), found.append(False)
+                        key.append(s["key"]), doc.append(d), first.append(s["first"]), found.append(0)
                         text.append(b" ".join(words[s["first"] : s["last"] + window]))
                         continue
+                    again = []
                     for at in range(s["first"], s["last"] + 1):
                         own = b" ".join(words[at : at + window])
-                        again = own in seen
+                        if own in seen:
+                            again.append(at)
+                            continue
                         seen.add(own)
                         key.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
-                        doc.append(d), first.append(at), text.append(b"" if again else own), found.append(again)
+                        doc.append(d), first.append(at), text.append(own), found.append(0)
+                    for at, n in _runs(again):
+                        key.append(d), doc.append(d), first.append(at), text.append(b""), found.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(text, pa.binary()), pa.array(found, pa.bool_())],
+                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(text, pa.binary()), pa.array(found, pa.int32())],
                 names=["key", "doc", "first", "words", "found"],
             )
 
@@ -180,21 +197,20 @@ def _with_texts(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def _match(shards: DataFrame, window: int) -> DataFrame:
-    """doc and window of every repeated window; shards: segments grouped by key, in order of (doc, first)."""
+    """doc, first and number of repeated windows; shards: segments grouped by key, in order of (doc, first)."""
 
     def run(batches):
         import pyarrow as pa
 
         key, automaton, alone, known = None, None, None, set()
         for b in batches:
-            docs, windows = [], []
-            for k, d, first, text in zip(*(b[c].to_pylist() for c in ("key", "doc", "first", "words")), strict=True):
+            docs, firsts, counts = [], [], []
+            for k, d, first, text, found in zip(*(b[c].to_pylist() for c in ("key", "doc", "first", "words", "found")), strict=True):
+                n = found or text.count(b" ") + 2 - window
                 if k != key:
                     key, automaton, alone, known = k, None, None, set()
-                n = text.count(b" ") + 2 - window
-                if text in known:
-                    docs += [d] * n
-                    windows += range(first, first + n)
+                if found or text in known:
+                    docs.append(d), firsts.append(first), counts.append(n)
                     continue
                 known.add(text)
                 new, hits = text.split(b" "), set()
@@ -207,59 +223,55 @@ def _match(shards: DataFrame, window: int) -> DataFrame:
                 if n > 1 and len(set(new)) < len(new):  # a window may also repeat inside its own segment
                     mine: dict[tuple, int] = {}
                     hits |= {i for i in range(n) if mine.setdefault(tuple(new[i : i + window]), i) != i}
-                docs += [d] * len(hits)
-                windows += [first + i for i in sorted(hits)]
+                for i, size in _runs(sorted(hits)):
+                    docs.append(d), firsts.append(first + i), counts.append(size)
                 if automaton is None:
                     alone = new
                 elif len(hits) < n:
                     automaton.add(new)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(windows, pa.int32())], names=["doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())], names=["doc", "first", "n"])
 
-    return shards.mapInArrow(run, "doc long, at int")
+    return shards.mapInArrow(run, "doc long, first int, n int")
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, at): every window of texts (doc, text; doc ascending in the order of precedence) that also starts earlier."""
-    tune(texts.sparkSession)
+def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, first, n): the windows of rows (`_doc`, which ascends in the order of precedence, text) that also start earlier."""
+    tune(rows.sparkSession)
+    texts = rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     all_of = materialize(_occurrences(texts, window), "segments")
     often = all_of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("inside")).where("n > 1 or inside")
-    some = all_of.join(often, "key").withColumn("hot", F.col("n") > HOT_SEGMENTS)
-    wanted = some.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "last", "hot")).alias("wanted"))
-    found = materialize(_with_texts(texts, wanted, window), "words")
-    shards = found.where("not found").select("key", "doc", "first", "words").repartition("key").sortWithinPartitions("key", "doc", "first")
-    return _match(shards, window).unionByName(found.where("found").select("doc", F.col("first").alias("at")))
+    some = all_of.join(often, "key").select("doc", "key", "first", "last", (F.col("n") > HOT_SEGMENTS).alias("hot"))
+    wanted = some.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("key", "first", "last", "hot")).alias("wanted"))
+    shards = _with_texts(rows, wanted, window).repartition("key").sortWithinPartitions("key", "doc", "first")
+    return _match(shards, window)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with `_doc`, which gives their order: doc_id, or where ids repeat or are null a number in the order of (doc_id, text)."""
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.withColumn("_doc", F.col("doc_id").cast("long"))
+        return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))  # not nullable: no filter, one exchange
     return materialize(docs.orderBy("doc_id", "text").withColumn("_doc", F.monotonically_increasing_id()), "numbered")
 
 
 def removals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """rows (of `numbered`) with `_at`: the starts of the document's repeated windows, null without any."""
-    texts = rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = repeated_windows(texts, window).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    return rows.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    """rows (of `numbered`) with `_at`: runs (first, n) of the document's repeated windows, null without any."""
+    gone = repeated_windows(rows, window).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "n")).alias("_at"))
+    return rows.join(gone, "_doc", "left")
 
 
-def _kept(words: list[bytes], at: list[int] | None, window: int) -> np.ndarray:
+def _kept(words: list[bytes], runs: list[dict] | None, window: int) -> np.ndarray:
     """Which words stay."""
-    keep = np.ones(len(words), bool)
-    if at:
-        edge = np.zeros(len(words) + 1, np.int32)
-        starts = np.array(at)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + window, -1)
-        keep = np.cumsum(edge)[:-1] == 0
-    return keep
+    edge = np.zeros(len(words) + 1, np.int64)
+    if runs:
+        np.add.at(edge, [r["first"] for r in runs], 1)
+        np.add.at(edge, [r["first"] + r["n"] + window - 1 for r in runs], -1)
+    return np.cumsum(edge)[:-1] == 0
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    rows = removals(numbered(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))), window)
+    rows = removals(numbered(docs.select(F.col("doc_id").cast("long"), "text")), window)
 
     def run(batches):
         import pyarrow as pa
@@ -267,9 +279,8 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in batches:
             n, removed, sha = [], [], []
             for t, at in zip(b["text"].to_pylist(), b["_at"].to_pylist(), strict=True):
-                words = _WORD.findall(t.encode())
-                keep = _kept(words, at, window)
-                left = [w for w, k in zip(words, keep.tolist(), strict=True) if k] if at else words
+                words = _WORD.findall((t or "").encode())
+                left = list(compress(words, _kept(words, at, window).tolist())) if at else words
                 n.append(len(words)), removed.append(len(words) - len(left)), sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -290,7 +301,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for t, at in zip(b["text"].to_pylist(), b["_at"].to_pylist(), strict=True):
                 if at:
                     words = _WORD.findall(t.encode())
-                    t = b" ".join(w for w, k in zip(words, _kept(words, at, window).tolist(), strict=True) if k).decode()
+                    t = b" ".join(compress(words, _kept(words, at, window).tolist())).decode()
                 texts.append(t)
             gone = [bool(at) and not t for t, at in zip(texts, b["_at"].to_pylist(), strict=True)]
             cols = {c: b[c] for c in b.schema.names if c != "_at"}
