@@ -1,5 +1,8 @@
 """Registered queries and their SQL oracles."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from lodestate.plans.oracles import ORACLE_SQL
+from lodestate.plans.queries import QUERIES
+
+FLAGSHIP = "state_versions"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
