@@ -5,7 +5,7 @@ when it holds a digit or when the node has more than `max_children` children and
 `min_support` urls. Then statistically similar branches merge: a child whose labelled bad rate does not differ from the
 node's pooled rate (two-proportion z below `z`) joins the branch `*`. A template's purity is its bad rate smoothed towards
 its parent template, `(bad + prior_weight * parent) / (labelled + prior_weight)`, from the root (the host) down; the root
-is smoothed towards the rate of all labels. A url is rejected when its deepest template's purity exceeds `reject_above`.
+is smoothed towards the rate of all labels, one half at most, so no host is rejected without labels of its own. A url is rejected when its deepest template's purity exceeds `reject_above`.
 
 Everything learned is grouped by (host, template) and never by url: a hot host is pre-aggregated before each shuffle, and
 urls look templates up in joins that AQE can split. The tree has `depth` levels; deeper segments do not count.
@@ -70,7 +70,7 @@ def learn_templates(labelled: DataFrame, depth: int, max_children: int, min_supp
     )
     urls = materialize(urls.fillna(0.0, ["bad"]), "urls")
     overall = urls.agg(F.try_divide(F.sum("bad"), F.sum("known")).alias("p")).first()["p"]
-    prior = F.lit(0.0 if overall is None else overall)
+    prior = F.lit(min(0.5, overall or 0.0))
     smooth = lambda parent: (F.col("bad") + prior_weight * parent) / (F.col("known") + prior_weight)
     hosts = urls.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
     levels = [materialize(hosts.select("host", smooth(prior).alias("purity"), F.lit("").alias("node")), "level")]
