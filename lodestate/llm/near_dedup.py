@@ -13,7 +13,9 @@ component; (c) every remaining candidate across components. What (c) leaves out
 between components is lost but by the miss probabilities (a pair of similarity 0.8 shares no band with probability 5e-8).
 
 Scale: signatures and texts move only for documents in buckets with two members or more; buckets stream through a task sorted
-by key. A hot centre's comparisons are dealt in blocks of CENTRE_BLOCK members. Components come from alternating
+by key. A hot centre's comparisons are dealt in blocks of CENTRE_BLOCK members, and those of the later rounds in blocks
+of BLOCK_SETS documents against the union of their candidates, so no row is ever made for each pair of a group. A bucket's
+signatures (128 bytes a member) are held by one task. Components come from alternating
 minimum-label steps over verified links, in DataFrame joins.
 
 Defined cases: null or empty text has an empty set and no link; fewer words than a shingle: the whole sequence is one shingle;
@@ -39,6 +41,8 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-7
 CENTRE_BLOCK = 512
+#: A block of later comparisons: sets held at once, and candidate pairs.
+BLOCK_SETS, BLOCK_PAIRS = 256, 200_000
 #: Shingles hashed at once for a signature.
 BLOCK = 4096
 
@@ -170,40 +174,79 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, best_only: bool) -> DataFrame:
-    """Surviving pairs (a < b) between different labels inside the buckets; best_only: each member's best candidate."""
+    """u, its surviving candidates vs in other components of a bucket, and the bucket's smallest id as home. The bucket's
+    largest component proposes nothing: its pairs come up from the others. best_only: each member's best candidate."""
     rows = buckets.repartition("key").sortWithinPartitions("key", "doc_id").select("key", "doc_id", "label", "sig")
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(ids, labels, sigs):
+        def proposals(ids, labels, sigs):
             ids, labels = np.array(ids, np.int64), np.array(labels, np.int64)
             sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
-            for label in np.unique(labels):
-                own, rest = np.flatnonzero(labels == label), np.flatnonzero(labels != label)
-                if len(own) * 2 > len(ids):
-                    continue  # its pairs come up from the smaller components
-                for i in own:
-                    alive, matches = survivors(sigs[i], sigs[rest])
-                    other = ids[rest[alive]]
-                    if best_only and len(other):
-                        other = other[[int(matches.argmax())]]
-                    for j in other:
-                        yield (int(min(ids[i], j)), int(max(ids[i], j)))
-
-        held, key, found = ([], [], []), None, set()
+            values, sizes = np.unique(labels, return_counts=True)
+            largest = values[sizes.argmax()]
+            for i in np.flatnonzero(labels != largest):
+                rest = np.flatnonzero((labels != labels[i]) & ((labels == largest) | (ids > ids[i]) | best_only))
+                alive, matches = survivors(sigs[i], sigs[rest])
+                if len(alive):
+                    yield int(ids[i]), ids[rest[alive[[matches.argmax()]] if best_only else alive]].tolist(), int(ids[0])
+
+        def batch_of(found):
+            u, vs, home = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(home, pa.int64())], names=["u", "vs", "home"])
+
+        held, key = ([], [], []), None
         for batch in batches:
+            found = []
             for k, d, label, sig in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "label", "sig")), strict=True):
                 if k != key:
                     if len(held[0]) > 1:
-                        found.update(pairs(*held))
+                        found += proposals(*held)
                     held, key = ([], [], []), k
                 held[0].append(d), held[1].append(label), held[2].append(sig)
-            a, b = zip(*found, strict=True) if found else ((), ())
-            found = set()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if len(held[0]) > 1 and (found := set(pairs(*held))):
-            a, b = zip(*found, strict=True)
+            yield batch_of(found)
+        if len(held[0]) > 1:
+            yield batch_of(list(proposals(*held)))
+
+    return rows.mapInArrow(run, "u long, vs array<long>, home long")
+
+
+def verify_blocks(proposed: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Of proposals (u, vs, home), the pairs (a, b) whose full sets reach the threshold. Documents of one home are dealt into
+    blocks that hold the sets of a few hundred u; the text of a v goes to a block once, however many u it is compared with."""
+    each = proposed.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("vs"), F.min("home").alias("home"))
+    each = materialize(each, "each")
+    loads = each.groupBy("home").agg(F.expr(f"greatest(ceil(sum(size(vs)) / {BLOCK_PAIRS}), ceil(count(*) / {BLOCK_SETS}))").alias("blocks"))
+    each = each.join(loads, "home").select("home", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block"), "u", "vs")
+    own = each.select("home", "block", F.col("u").alias("doc_id"), "vs")
+    other = each.groupBy("home", "block").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("all"))
+    other = other.select("home", "block", F.explode("all").alias("doc_id"), F.lit(None).cast("array<long>").alias("vs"))
+    rows = own.unionByName(other).join(docs, "doc_id").withColumn("side", F.col("vs").isNull().cast("int"))
+    rows = rows.repartition("home", "block").sortWithinPartitions("home", "block", "side", "doc_id").select("home", "block", "side", "doc_id", "vs", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, held, wanted = None, {}, {}
+        for batch in batches:
+            a, b = [], []
+            sets = shingle_sets(batch["text"].to_pylist(), words)
+            for home, block, side, d, vs, s in zip(*(batch[c].to_pylist() for c in ("home", "block", "side", "doc_id", "vs")), sets, strict=True):
+                if (home, block) != at:
+                    at, held, wanted = (home, block), {}, {}
+                if side == 0:
+                    held[d] = s
+                    for v in vs:
+                        wanted.setdefault(v, []).append(d)
+                    continue
+                for u in wanted.get(d, ()):
+                    one = held[u]
+                    if 100 * min(len(one), len(s)) < threshold * max(len(one), len(s)):
+                        continue
+                    common = len(np.intersect1d(one, s, assume_unique=True))
+                    if 100 * common >= threshold * (len(one) + len(s) - common):
+                        a.append(min(u, d)), b.append(max(u, d))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -248,12 +291,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
         named = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         mixed = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
         buckets = named.join(mixed, "key", "left_semi").join(sigs, "doc_id").select("key", "doc_id", "label", "sig")
-        fresh = _across(buckets, best_only).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "fresh")
-        if fresh.isEmpty():
+        proposed = materialize(_across(buckets, best_only), "proposed")
+        if proposed.isEmpty():
             break
-        tested = tested.unionByName(fresh)
-        links = materialize(links.unionByName(verify(fresh, one_text, words, threshold)), "links")
+        links = materialize(links.unionByName(verify_blocks(proposed, one_text, words, threshold)), "links")
     else:
         labels = components(links)
 
