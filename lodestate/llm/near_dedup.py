@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(banded.join(shared, "key"), "members")
     sigs = reps.select("doc_id", "sig")
-    one_text = texts
+    # The texts shuffle once, to those of bucket members; a merge join at every size, so that the cost grows with the input.
+    one_text = materialize(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
     star = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
