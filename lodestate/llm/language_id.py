@@ -79,8 +79,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     if not classes:
         return empty
     rng = np.random.default_rng(seed)
-    x = [np.bincount(subwords(np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8)), minlength=BUCKETS) for t in texts]
-    x = [(i := np.flatnonzero(c), (c[i] / max(1, c.sum())).astype(np.float32)) for c in x]
+    x = []
+    for t in texts:
+        i, c = np.unique(subwords(np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8)), return_counts=True)
+        x.append((i, (c / max(1, c.sum())).astype(np.float32)))
     y = np.array([classes.index(v) for v in langs])
     order = rng.permutation(len(x))
     held = order[: len(x) // 5]
