@@ -13,11 +13,16 @@ encoding whole texts, whose words mostly repeat.
 from __future__ import annotations
 
 import re
+from array import array
 
-#: Chunks held by one cache; beyond that it starts anew. About 100 MB.
+#: Chunks held by one generation of the cache (two are held, each of about 80 MB); when one is full, the older goes.
 CACHE_CHUNKS = 400_000
 #: Longer chunks are not held.
 CACHE_BYTES = 64
+#: New chunks that the library encodes in one run.
+RUN_CHUNKS = 4_000
+#: Up to this code point NFC changes nothing, so that the length of a normalised chunk is that of its lower case.
+NFC_BELOW = "\u0250"
 
 _BYTE_CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
@@ -35,12 +40,55 @@ class Encoder:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
+        self.width = self._widths()
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _widths(self):
+        """Bytes of text behind each id, -1 for a special token."""
+        import numpy as np
+
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            width[i] = -1 if token in self.specials else len(token.removesuffix("</w>") if self.kind == "word" else token)
+        return width
+
+    def _joinable(self, text: str) -> bool:
+        """Whether the bytes of the chunk's tokens are known beforehand."""
+        if "<|" in text:
+            return False
+        return self.kind == "byte" or text.isascii() and text.isprintable() or max(text) < NFC_BELOW and not _ODD_SPACE.search(text) and text.isprintable()
+
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks. Runs of chunks go to the library as one text, whose ids are cut where the bytes of their tokens reach
+        the end of a chunk; a run whose cuts do not fall between tokens, and chunks that cannot be joined, go one by one."""
         import numpy as np
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: dict[bytes, bytes] = {}
+        alone, joined = [], []
+        for c in chunks:
+            (joined if self._joinable(c.decode()) and (self.kind == "word" or c[:1].isspace() and not c.isspace()) else alone).append(c)
+        for at in range(0, len(joined), RUN_CHUNKS):
+            run = joined[at : at + RUN_CHUNKS]
+            if self.kind == "byte":
+                text, size = b"".join(run).decode(), list(map(len, run))
+            else:
+                text = b" ".join(run).decode()
+                size = [len(w) for w in text.lower().encode().split(b" ")]
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends, reached = np.cumsum(size), np.cumsum(self.width[ids])
+            cuts = np.searchsorted(reached, ends)
+            if len(ends) != len(run) or not len(reached) or cuts[-1] != len(ids) - 1 or (reached[cuts] != ends).any():
+                alone += run
+                continue
+            data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+            out.update((c, data[a:b]) for c, a, b in zip(run, [0, *stops[:-1]], stops, strict=True))
+        out.update(zip(alone, self._library([c.decode() for c in alone]), strict=True))
+        return out
 
     def chunks(self, text: str) -> list[bytes] | None:
         """None: the text must be encoded whole."""
@@ -52,17 +100,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.chunks(t) for t in texts]
-        new = set()
-        for p in parts:
-            new.update(p or ())
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
-        cache = self.cache
-        missing = [c for c in new if c not in cache]
-        fresh = dict(zip(missing, self._library([c.decode() for c in missing]), strict=True))
-        get = {c: cache.get(c) or fresh.get(c, b"") for c in new}.__getitem__ if fresh else cache.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else None for p in parts]
-        cache.update((c, v) for c, v in fresh.items() if len(c) <= CACHE_BYTES)
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = set().union(*filter(None, parts)).difference(cache)
+        known = missing.intersection(older)
+        for c in known:
+            cache[c] = older[c]
+        fresh = self._learn(list(missing - known if known else missing))
+        cache.update(fresh)
+        out = [b"".join(map(cache.__getitem__, p)) if p is not None else None for p in parts]
+        for c in fresh:
+            if len(c) > CACHE_BYTES:
+                del cache[c]
         whole = [i for i, v in enumerate(out) if v is None]
         for i, v in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = v
