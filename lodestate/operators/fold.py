@@ -4,7 +4,7 @@
 expired; the version counts writes within the life. It is one sort by (key, seq), and all windows share it.
 
 `ordered_fold` runs typed operations whose acceptance depends on the state before (bounded counters, leases, semaphores,
-splices) one by one per key in grouped Arrow batches. A key's operations are ordered by definition, so a key is the unit of
+splices) one by one per key in Arrow batches sorted by key. A key's operations are ordered by definition, so a key is the unit of
 parallelism; `bounded_add` folds inside the JVM instead.
 """
 
@@ -88,15 +88,101 @@ class Lease:
         return "Ok", self.fencing
 
 
-def leases(log: DataFrame) -> DataFrame:
-    """key, seq, status, fencing of every lease operation."""
+class Typed:
+    """Bytes with a version and an expiry stamp: whole writes, splices, expiry edits, reads."""
+
+    def __init__(self):
+        self.value, self.version, self.expires = None, 0, None
+
+    def apply(self, op: str, now: int, value: str | None, at: int | None, offset: int | None) -> tuple:
+        """applied, version, expires_us, value_hex (both after the operation), read_hex (of a read, else null)."""
+        if self.value is not None and self.expires is not None and now >= self.expires:
+            self.value, self.version, self.expires = None, 0, None
+        live, read, applied = self.value is not None, None, True
+        if op == "set":
+            self.value, self.version, self.expires = value.encode(), self.version + 1, at
+        elif op == "delete":
+            applied = live
+            self.value, self.version, self.expires = None, 0, None
+        elif op == "set_range":
+            patch, old = value.encode(), self.value or b""
+            self.value, self.version = old[:offset].ljust(offset, b"\0") + patch + old[offset + len(patch) :], self.version + 1
+        elif op == "get_range":
+            applied = live
+            read = self.value[offset : offset + int(value)].hex().upper() if live else None
+        elif op == "expire_at":
+            applied = live
+            if live:
+                self.expires, self.version = at, self.version + 1
+        elif op == "persist":
+            applied = live and self.expires is not None
+            if applied:
+                self.expires, self.version = None, self.version + 1
+        return applied, self.version, self.expires, None if self.value is None else self.value.hex().upper(), read
+
+
+class Semaphore:
+    """Counted permits under a capacity, each known by its id; MAX_PERMITS are held at most."""
+
+    MAX_PERMITS = 4096
+
+    def __init__(self, capacity: int = 200):
+        self.capacity, self.held, self.used = capacity, {}, 0
+
+    def apply(self, op: str, permit: int, owner: int, qty: int) -> tuple:
+        """status, used after."""
+        if op == "acquire":
+            if permit in self.held:
+                return "Ok" if self.held[permit] == (owner, qty) else "SemaphoreExhausted", self.used
+            if self.used + qty > self.capacity or qty and len(self.held) >= self.MAX_PERMITS:
+                return "SemaphoreExhausted", self.used
+            if qty:
+                self.held[permit] = (owner, qty)
+                self.used += qty
+            return "Ok", self.used
+        if permit not in self.held:
+            return "NotFound", self.used
+        self.used -= self.held.pop(permit)[1]
+        return "Ok", self.used
+
 
-    def run(part):
-        part, lease = part.sort_values("seq"), Lease()
-        out = [lease.apply(*r) for r in zip(part["op"], part["now_us"], part["owner"], part["ttl_us"], strict=True)]
-        return part[["key", "seq"]].assign(status=[s for s, _ in out], fencing=[f for _, f in out])
+def ordered_fold(log: DataFrame, machine: type, columns: list[str], results: str) -> DataFrame:
+    """key, seq and the results of every operation, applied in order of seq to one machine for each key. Rows stream through a
+    task sorted by key and seq, so only the state of one key is held, however many operations it has."""
 
-    return log.groupBy("key").applyInPandas(run, "key long, seq long, status string, fencing long")
+    def run(batches):
+        import pyarrow as pa
+
+        names, key, state = [r.split()[0] for r in results.split(", ")], None, None
+        for batch in batches:
+            keys, out = batch["key"].to_pylist(), []
+            for k, *arguments in zip(keys, *(batch[c].to_pylist() for c in columns), strict=True):
+                if state is None or k != key:
+                    key, state = k, machine()
+                out.append(state.apply(*arguments))
+            found = zip(names, zip(*out, strict=True) if out else [()] * len(names), strict=True)
+            yield pa.RecordBatch.from_pydict({"key": batch["key"], "seq": batch["seq"]} | {n: pa.array(v, kinds[n]) for n, v in found})
+
+    import pyarrow as pa
+
+    arrow = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    kinds = {r.split()[0]: arrow[r.split()[1]] for r in results.split(", ")}
+    rows = log.select("key", "seq", *columns).repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInArrow(run, f"key long, seq long, {results}")
+
+
+def typed(log: DataFrame) -> DataFrame:
+    """Splices, expiry edits and whole writes: the outcome of every operation."""
+    return ordered_fold(log, Typed, ["op", "now_us", "value", "at_us", "offset"], "applied boolean, version long, expires_us long, value_hex string, read_hex string")
+
+
+def semaphores(log: DataFrame) -> DataFrame:
+    return ordered_fold(log, Semaphore, ["op", "permit", "owner", "qty"], "status string, used long")
+
+
+def leases(log: DataFrame) -> DataFrame:
+    """key, seq, status, fencing of every lease operation."""
+    return ordered_fold(log, Lease, ["op", "now_us", "owner", "ttl_us"], "status string, fencing long")
 
 
 def stream_offsets(log: DataFrame, shards: int) -> DataFrame:

@@ -121,3 +121,51 @@ ORACLE_SQL = {
     "storage_dirty_bands": _with(WRITES, "SELECT key % 256 AS band, count(*) AS writes, max(seq) AS last_seq FROM wr WHERE seq > 500 GROUP BY 1"),
     "storage_reclaim": _with(EVENTS, "SELECT seq // 64 AS segment FROM ev GROUP BY 1 HAVING max(seq) <= (SELECT min(f) FROM (SELECT max(seq) AS f FROM ev GROUP BY key % 8))"),
 }
+
+
+def ordered(steps: str, state: str, start: str, step: str) -> str:
+    """A fold as recursion: `steps` numbers each key's operations from 1, `step` gives the next state from f and o."""
+    return f"""WITH RECURSIVE {EVENTS}, o AS ({steps}), f(key, n, seq, {state}) AS (
+        SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), {start} FROM o
+        UNION ALL
+        SELECT o.key, o.n, o.seq, {step}
+        FROM (SELECT f.*, nx.now_us, v IS NOT NULL AND (ex IS NULL OR nx.now_us < ex) AS live, CASE WHEN v IS NOT NULL AND (ex IS NULL OR nx.now_us < ex) THEN ver ELSE 0 END AS lv FROM f JOIN o nx ON nx.key = f.key AND nx.n = f.n + 1) f
+        JOIN o ON o.key = f.key AND o.n = f.n + 1
+    )"""
+
+
+ORACLE_SQL |= {
+    "expiry_edits": ordered(
+        "SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ev",
+        "applied, v, ver, ex",
+        "false, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS BIGINT)",
+        """CASE WHEN kind IN ('signup', 'purchase') THEN true WHEN kind = 'view' THEN live AND ex IS NOT NULL ELSE live END,
+        CASE WHEN kind IN ('signup', 'purchase') THEN hex(CAST(cents AS VARCHAR)) WHEN kind <> 'error' AND live THEN v END,
+        CASE WHEN kind = 'error' THEN 0 WHEN kind IN ('signup', 'purchase') OR live AND (kind = 'click' OR ex IS NOT NULL) THEN lv + 1 ELSE lv END,
+        CASE WHEN kind = 'signup' THEN o.now_us + k * 3600000000 WHEN kind = 'click' AND live THEN o.now_us + k * 60000000 END""",
+    )
+    + " SELECT key, seq, applied, ver AS version, ex AS expires_us, v AS value_hex FROM f WHERE n > 0",
+    "bytes_splice": ordered(
+        "SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ev WHERE kind <> 'purchase'",
+        "applied, v, ver, ex, rd",
+        "false, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)",
+        """kind IN ('signup', 'click') OR live,
+        CASE kind WHEN 'signup' THEN hex(CAST(cents AS VARCHAR)) WHEN 'view' THEN v
+            WHEN 'click' THEN rpad(coalesce(v, ''), CAST(2 * (k % 16) AS INT), '0') || hex(lpad(CAST(o.seq % 100 AS VARCHAR), 2, '0')) || substr(coalesce(v, ''), 2 * (k % 16) + 5) END,
+        CASE kind WHEN 'error' THEN 0 WHEN 'view' THEN lv ELSE lv + 1 END, NULL, CASE WHEN kind = 'view' THEN substr(v, 2 * (k % 8) + 1, 8) END""",
+    )
+    + " SELECT key, seq, applied, ver AS version, v AS value_hex, rd AS read_hex FROM f WHERE n > 0",
+    "semaphore_outcomes": f"""WITH RECURSIVE {EVENTS}, a AS (
+        SELECT key % 20 AS key, seq, kind = 'click' AS acquire, k,
+            coalesce(last_value(CASE WHEN kind = 'click' THEN seq END IGNORE NULLS) OVER (PARTITION BY ev.key ORDER BY seq), -1) AS permit
+        FROM ev WHERE kind IN ('click', 'purchase')
+    ), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM a), f(key, n, seq, status, used, held) AS (
+        SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 'Ok', CAST(0 AS BIGINT), CAST([] AS STRUCT(p BIGINT, q BIGINT)[]) FROM o
+        UNION ALL
+        SELECT o.key, o.n, o.seq,
+            CASE WHEN acquire THEN CASE WHEN used + k > 200 THEN 'SemaphoreExhausted' ELSE 'Ok' END WHEN len(list_filter(held, lambda x: x.p = permit)) = 0 THEN 'NotFound' ELSE 'Ok' END,
+            CAST(CASE WHEN acquire THEN CASE WHEN used + k > 200 THEN used ELSE used + k END ELSE used - coalesce(list_sum(list_transform(list_filter(held, lambda x: x.p = permit), lambda x: x.q)), 0) END AS BIGINT),
+            CASE WHEN acquire THEN CASE WHEN used + k > 200 OR k = 0 THEN held ELSE list_append(held, {{'p': permit, 'q': k}}) END ELSE list_filter(held, lambda x: x.p <> permit) END
+        FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1
+    ) SELECT key, seq, status, used FROM f WHERE n > 0""",
+}

@@ -90,6 +90,21 @@ def lease_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return fold.leases(S.lease_log(spark, d))
 
 
+@query
+def expiry_edits(spark: SparkSession, d: str) -> DataFrame:
+    return fold.typed(S.expiry_log(spark, d)).drop("read_hex")
+
+
+@query
+def bytes_splice(spark: SparkSession, d: str) -> DataFrame:
+    return fold.typed(S.splice_log(spark, d)).drop("expires_us")
+
+
+@query
+def semaphore_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return fold.semaphores(S.semaphore_log(spark, d))
+
+
 @query
 def escrow_transfer(spark: SparkSession, d: str) -> DataFrame:
     """Each bounded counter gives k = key + 1 of its right to the next one: verdict and shares after."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOUR_US, MINUTE_US = 3_600_000_000, 60_000_000
@@ -51,6 +51,31 @@ def lease_log(spark: SparkSession, sf_dir: str, resources: int = 15) -> DataFram
     return e.select((F.col("key") % resources).alias("key"), "seq", "now_us", op.alias("op"), F.col("key").alias("owner"), (F.col("k") * MINUTE_US).alias("ttl_us"))
 
 
+def expiry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups set with an expiry of k hours, purchases set without, errors delete, clicks move the expiry to k minutes from
+    now, views remove it."""
+    e = events(spark, sf_dir)
+    op = F.when(F.col("kind").isin("signup", "purchase"), "set").when(F.col("kind") == "error", "delete").when(F.col("kind") == "click", "expire_at").otherwise("persist")
+    at = F.when(F.col("kind") == "signup", F.col("now_us") + F.col("k") * HOUR_US).when(F.col("kind") == "click", F.col("now_us") + F.col("k") * MINUTE_US)
+    return e.select("key", "seq", "now_us", op.alias("op"), F.col("cents").cast("string").alias("value"), at.alias("at_us"), F.lit(None).cast("long").alias("offset"))
+
+
+def splice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups set, clicks splice two digits in at k mod 16, views read four bytes from k mod 8 on, errors delete."""
+    e = events(spark, sf_dir).where("kind <> 'purchase'")
+    op = F.when(F.col("kind") == "signup", "set").when(F.col("kind") == "error", "delete").when(F.col("kind") == "click", "set_range").otherwise("get_range")
+    value = F.when(F.col("kind") == "signup", F.col("cents").cast("string")).when(F.col("kind") == "click", F.lpad((F.col("seq") % 100).cast("string"), 2, "0")).otherwise("4")
+    return e.select("key", "seq", "now_us", op.alias("op"), value.alias("value"), F.lit(None).cast("long").alias("at_us"), F.when(F.col("kind") == "click", F.col("k") % 16).otherwise(F.col("k") % 8).alias("offset"))
+
+
+def semaphore_log(spark: SparkSession, sf_dir: str, groups: int = 20) -> DataFrame:
+    """Clicks acquire k permits under their own id, purchases release the same user's latest asked for."""
+    e = events(spark, sf_dir).where(F.col("kind").isin("click", "purchase"))
+    w = Window.partitionBy("key").orderBy("seq")
+    asked = F.last(F.when(F.col("kind") == "click", F.col("seq")), ignorenulls=True).over(w)
+    return e.select((F.col("key") % groups).alias("key"), "seq", F.when(F.col("kind") == "click", "acquire").otherwise("release").alias("op"), F.coalesce(asked, F.lit(-1)).alias("permit"), F.col("key").alias("owner"), F.col("k").alias("qty"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a versioned ordered keyspace: a second version where the order key is a multiple of 5, gone at multiples of 17."""
     o = table(spark, sf_dir, "orders")
