@@ -37,3 +37,24 @@ def get_range(value: Column, first: int, last: int) -> Column:
 
 def freshness(version: Column, current: Column) -> Column:
     return F.when(version == current, "Current").when(version < current, "Stale").otherwise("Future")
+
+
+def stream_shard(partition: Column, shards: int) -> Column:
+    """FNV-1a (64 bits) of the partition's UTF-8 bytes, mod shards; 0 without shards or partition. The hash is held as two
+    halves of 32 bits, so that no product overflows."""
+    if shards == 0:
+        return F.lit(0).cast("long")
+    mask = F.lit(0xFFFFFFFF)
+    digits = F.hex(F.encode(partition, "UTF-8"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    octets = F.transform(places, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h, octet):
+        lo = h["lo"].bitwiseXOR(octet)  # times 2^40 + 435
+        low = lo * 435
+        high = h["hi"] * 435 + F.shiftright(low, 32) + lo * 256
+        return F.struct(high.bitwiseAND(mask).alias("hi"), low.bitwiseAND(mask).alias("lo"))
+
+    h = F.aggregate(octets, start, step)
+    return F.coalesce((h["hi"] % shards * ((1 << 32) % shards) + h["lo"]) % shards, F.lit(0)).cast("long")

@@ -19,5 +19,7 @@ def bounded_stale(reads: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def at_least(reads: DataFrame, applied: DataFrame) -> DataFrame:
-    """A read with a token needs a position applied at least as far."""
-    return reads.join(applied, "lane", "left").select("id", F.when(F.col("applied") >= F.col("token"), "Ok").otherwise("Unavailable").alias("status"))
+    """A read with a token needs its lane's epoch to be the token's, and a position applied at least as far."""
+    seen = reads.join(applied.select("lane", "applied", F.col("epoch").alias("now_epoch")), "lane", "left")
+    stale = F.col("now_epoch").isNotNull() & (F.col("epoch") != F.col("now_epoch"))
+    return seen.select("id", F.when(stale, "StaleToken").when(F.col("applied") >= F.col("token"), "Ok").otherwise("Unavailable").alias("status"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestate.operators.fold import ordered_fold
+
 SPLIT_OBJECTS, MERGE_OBJECTS = 200_000, 20_000
 
 
@@ -25,3 +27,75 @@ def split_or_merge(tablets: DataFrame, split_at: int = SPLIT_OBJECTS, merge_at:
     right = F.lead("objects").over(Window.orderBy("start_key"))
     action = F.when(F.col("objects") >= split_at, "Split").when((F.col("objects") <= merge_at) & (right <= merge_at), "Merge").otherwise("Keep")
     return tablets.select("tablet", action.alias("action"))
+
+# Weights of the repair priority.
+UNRECOVERABLE, NO_TOLERANCE, SCHEME_VIOLATION = 1_000_000_000_000, 800_000_000_000, 600_000_000_000
+REPAIR_WEIGHTS = {
+    "fragment_deficit": 1_000_000_000,
+    "tolerance_deficit": 500_000_000,
+    "unavailable_nodes": 10_000_000,
+    "draining_nodes": 2_000_000,
+    "corrupt_fragments": 20_000_000,
+    "unavailable_fragments": 5_000_000,
+    "concentration_excess": 1_000_000,
+    "placement_violations": 2_000_000,
+    "layout_drift": 250_000,
+    "degraded_ms": 10_000,
+    "unverified_ms": 2_000,
+}
+AGE_CAP_MS = 86_400_000
+MIB = 1 << 20
+
+
+def repair_priority(assets: DataFrame) -> DataFrame:
+    """Each asset with `priority`: the gravest of three risks, weighted deficits, ages up to one day, and byte tiers. Columns
+    of REPAIR_WEIGHTS, and recoverable, tolerance (what is left), meets_scheme, asset_bytes, rebuild_bytes."""
+    risk = F.when(~F.col("recoverable"), UNRECOVERABLE).when(F.col("tolerance") == 0, NO_TOLERANCE).when(~F.col("meets_scheme"), SCHEME_VIOLATION).otherwise(0)
+    score = risk.cast("long")
+    for name, weight in REPAIR_WEIGHTS.items():
+        amount = F.least(F.col(name), F.lit(AGE_CAP_MS)) if name.endswith("_ms") else F.col(name)
+        score += amount * weight
+    for name in ("asset_bytes", "rebuild_bytes"):
+        b = F.col(name)
+        score += F.when(b == 0, 0).when(b <= MIB, 1_000).when(b <= 64 * MIB, 4_000).when(b <= 1024 * MIB, 8_000).otherwise(16_000)
+    return assets.withColumn("priority", score)
+
+
+def debt(assets: DataFrame) -> DataFrame:
+    """Degraded assets, their bytes and the highest priority of each domain."""
+    return assets.where("priority > 0").groupBy("domain").agg(F.count(F.lit(1)).alias("assets"), F.sum("rebuild_bytes").alias("bytes"), F.max("priority").alias("priority"))
+
+
+class Detector:
+    """Liveness of one node by polls: suspect after SUSPECT misses in a row, unavailable after GRACE more; a node that came
+    back from unavailable is not suspected again within COOLDOWN polls."""
+
+    SUSPECT, GRACE, COOLDOWN = 4, 10, 120
+
+    def __init__(self):
+        self.state, self.misses, self.since_return = "Active", 0, None
+
+    def apply(self, alive: bool) -> tuple[str, int]:
+        """state and misses after the poll."""
+        if alive:
+            self.misses = 0
+            if self.state == "Unavailable":
+                self.since_return = 0
+            elif self.state == "Active" and self.since_return is not None:
+                self.since_return += 1
+            self.state = "Active"
+            return self.state, self.misses
+        self.misses += 1
+        if self.since_return is not None:
+            self.since_return += 1
+        settling = self.state == "Active" and self.since_return is not None and self.since_return < self.COOLDOWN
+        if self.state == "Active" and self.misses >= self.SUSPECT and not settling:
+            self.state = "Suspect"
+        elif self.state == "Suspect" and self.misses >= self.SUSPECT + self.GRACE:
+            self.state = "Unavailable"
+        return self.state, self.misses
+
+
+def liveness(polls: DataFrame) -> DataFrame:
+    """key, seq, state, misses after every poll (key, seq, alive)."""
+    return ordered_fold(polls, Detector, ["alive"], "state string, misses long")

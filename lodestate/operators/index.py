@@ -39,3 +39,9 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("primary", F.array_except(new, old).alias("put"), F.array_except(old, new).alias("gone"))
 
 
+
+
+def backfill(planned: DataFrame, state: DataFrame) -> DataFrame:
+    """Entries (term, primary, version) of planned projections whose primary still has the expected version."""
+    now = state.select(F.col("key").alias("primary"), "version")
+    return planned.join(now, ["primary", "version"]).select(F.explode(F.array_distinct("terms")).alias("term"), "primary", "version")

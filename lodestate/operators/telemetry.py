@@ -65,3 +65,68 @@ def sustained(flags: DataFrame, least: int = 3) -> DataFrame:
     islands = flags.withColumn("island", F.sum((~F.col("flag")).cast("long")).over(w))
     run = F.sum(F.col("flag").cast("long")).over(Window.partitionBy("scope", "island").orderBy("window"))
     return islands.withColumn("run", run).select("scope", "window", "run", (F.col("run") >= least).alias("sustained"))
+
+
+def latest(samples: DataFrame) -> DataFrame:
+    """The last sample of each scope and window."""
+    return samples.groupBy("scope", "window").agg(F.max_by(F.struct("sequence", "item", "stall"), "sequence").alias("s")).select("scope", "window", "s.*")
+
+
+def pressure(samples: DataFrame) -> DataFrame:
+    """Peak and mean depth, service ratio (null without service time) and rejections by scope and window."""
+    return samples.groupBy("scope", "window").agg(
+        F.max("stall").alias("max_depth"),
+        (F.sum("stall") / F.count(F.lit(1))).alias("mean_depth"),
+        F.try_divide(F.sum("stall"), F.sum("latency_ns")).alias("service_ratio"),
+        F.count_if("tail").alias("rejections"),
+    )
+
+
+def savings(sizes: DataFrame) -> DataFrame:
+    """Compression ratio and savings (negative where data grew) by group."""
+    by = sizes.groupBy("group").agg(F.sum("raw").alias("raw"), F.sum("packed").alias("packed"))
+    return by.select("group", F.try_divide("packed", "raw").alias("ratio"), F.try_divide(F.col("raw") - F.col("packed"), "raw").alias("savings"))
+
+
+def extremes(samples: DataFrame) -> DataFrame:
+    """Hardware counters by scope: worst values, not means; counts add up even where nothing was measured."""
+    return samples.groupBy("scope").agg(F.min("trust").alias("trust"), F.max("stall").alias("stall"), F.max("ipc").alias("ipc"), F.sum("misses").alias("misses"))
+
+
+def bound_by(stall: Column, miss: Column, ipc: Column) -> Column:
+    """Memory: stall above 0.35 with misses above 0.2; Cpu: 1.5 instructions a cycle or more with stall below 0.15."""
+    return F.when((stall > 0.35) & (miss > 0.2), "Memory").when((ipc >= 1.5) & (stall < 0.15), "Cpu").otherwise("Neither")
+
+
+def evidence(samples: DataFrame) -> DataFrame:
+    """Oldest and newest sample, least confidence and the union of the source bits of each scope."""
+    return samples.groupBy("scope").agg(F.min("sequence").alias("oldest"), F.max("sequence").alias("newest"), F.min("confidence").alias("confidence"), F.bit_or("sources").alias("sources"))
+
+
+def access_rollup(signals: DataFrame) -> DataFrame:
+    """Access signals (scope, accesses, cpu_ns, bytes) as one criticality signal for each scope; an idle object counts 1 ns."""
+    return signals.groupBy("scope").agg(
+        F.sum("accesses").alias("accesses"),
+        F.sum(F.expr("accesses div 2")).alias("critical"),
+        F.sum("cpu_ns").alias("stall_ns"),
+        F.max(F.when(F.col("accesses") == 0, 1).otherwise(F.expr("cpu_ns div nullif(accesses, 0)"))).cast("long").alias("latency_ns"),
+        (F.sum("bytes") + 1).alias("bytes"),
+    )
+
+
+def trials(reports: DataFrame) -> DataFrame:
+    """Median, least, greatest and spread of repeated trials; valid only if every trial is."""
+    by = reports.groupBy("name").agg(
+        F.expr("percentile(throughput, 0.5)").alias("throughput"), F.min("throughput").alias("least"), F.max("throughput").alias("most"),
+        F.expr("percentile(latency, 0.5)").alias("latency"), (F.max("latency") - F.min("latency")).alias("latency_spread"), F.bool_and("valid").alias("valid"),
+    )
+    return by.withColumn("spread", F.try_divide(F.col("most") - F.col("least"), "throughput"))
+
+
+def hysteresis(values: DataFrame, enter: int, release: int) -> DataFrame:
+    """scope, window, run: windows in a row since `value` reached `enter` and has not fallen below `release`. Only a value at
+    or above `enter` or below `release` changes the state, so the state is the last such value's: no fold is needed."""
+    w = Window.partitionBy("scope").orderBy("window")
+    turn = F.when(F.col("value") >= enter, True).when(F.col("value") < release, False)
+    flags = values.withColumn("flag", F.coalesce(F.last(turn, True).over(w), F.lit(False)))
+    return sustained(flags.select("scope", "window", "flag")).select("scope", "window", "run")

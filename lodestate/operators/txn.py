@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Age from which an undecided intent is aborted.
+GRACE_US = 2_000_000
+
 
 def collapse(writes: DataFrame) -> DataFrame:
     """Duplicate writes of a key inside a batch: the last one wins (of equal places, the larger delta)."""
@@ -43,3 +46,31 @@ def coordinators(writes: DataFrame, tablets: int) -> DataFrame:
 def decisions(votes: DataFrame) -> DataFrame:
     """The first decision of a transaction is final; later different ones are conflicts."""
     return votes.groupBy("txn").agg(F.min_by("decision", "seq").alias("decision"), (F.count_distinct("decision") > 1).alias("conflict"))
+
+
+def escrow_conserved(shares: DataFrame) -> DataFrame:
+    """Whether the widths of all shares of a batch add up to the same before and after."""
+    return shares.groupBy("txn").agg((F.sum("before") == F.sum("after")).alias("conserved"))
+
+
+def write_set_digest(writes: DataFrame) -> DataFrame:
+    """SHA-256 of each batch's collapsed writes in key order: the order of arrival and the expectations do not matter. A batch
+    holds 256 keys at most, which bounds the list."""
+    text = F.format_string("%010d=%d", "key", "delta")
+    return collapse(writes).groupBy("txn").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ";").cast("binary"), 256).alias("digest"))
+
+
+def blocked(log: DataFrame) -> DataFrame:
+    """Mutations and reads of a key between an intent (op prepare) and its end (op decide): mutations conflict, reads see
+    the committed state."""
+    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last(F.when(F.col("op").isin("prepare", "decide"), F.col("op") == "prepare"), True).over(w), F.lit(False))
+    rows = log.withColumn("held", held).where("op in ('mutate', 'read')")
+    return rows.select("key", "seq", F.when(F.col("held") & (F.col("op") == "mutate"), "TxnConflict").otherwise("Ok").alias("status"))
+
+
+def resolve(intents: DataFrame, records: DataFrame, now_us: int, grace_us: int = GRACE_US) -> DataFrame:
+    """What becomes of each intent: finalized or released by its decision, aborted without one after the grace, else kept."""
+    seen = intents.join(records.select("txn", "decision"), "txn", "left")
+    late = F.lit(now_us) - F.col("prepared_us") > grace_us
+    return seen.select("txn", F.when(F.col("decision") == "Committed", "Finalize").when(F.col("decision") == "Aborted", "Release").when(late, "Abort").otherwise("Wait").alias("action"))

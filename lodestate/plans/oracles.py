@@ -169,3 +169,53 @@ ORACLE_SQL |= {
         FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1
     ) SELECT key, seq, status, used FROM f WHERE n > 0""",
 }
+
+ASSETS = """az AS (SELECT p_partkey, p_partkey AS n, CAST(p_size AS BIGINT) AS s FROM part), ap AS (
+    SELECT p_partkey, n % 12 AS domain, s * 1000000 * (s % 3) AS rb,
+        CASE WHEN s % 7 < 4 THEN 1000000000000 WHEN s % 7 = 4 THEN 800000000000 WHEN s % 7 = 5 THEN 600000000000 ELSE 0 END
+        + greatest(4 - s % 7, 0) * 1000000000 + (2 - greatest(s % 7 - 4, 0)) * 500000000 + n % 3 * 10000000 + n % 2 * 2000000 + n % 5 * 20000000 + n % 4 * 5000000
+        + n % 6 * 1000000 + n % 7 * 2000000 + (6 - s % 7) * 250000 + least(n * 100000, 86400000) * 10000 + least(s * 1000, 86400000) * 2000
+        + CASE WHEN n = 0 THEN 0 WHEN n * 900000 <= 1048576 THEN 1000 WHEN n * 900000 <= 67108864 THEN 4000 WHEN n * 900000 <= 1073741824 THEN 8000 ELSE 16000 END
+        + CASE WHEN s * 1000000 * (s % 3) = 0 THEN 0 WHEN s * 1000000 * (s % 3) <= 1048576 THEN 1000 WHEN s * 1000000 * (s % 3) <= 67108864 THEN 4000 WHEN s * 1000000 * (s % 3) <= 1073741824 THEN 8000 ELSE 16000 END AS priority
+    FROM az)"""
+
+ORACLE_SQL |= {
+    "stream_shards": """SELECT c_custkey, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::HUGEINT)),
+        lambda h, b: xor(h, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT) % 7 AS BIGINT) AS shard FROM customer""",
+    "index_backfill": _with(ENTRIES, "SELECT DISTINCT unnest([status, priority]) AS term, key AS \"primary\", version FROM en WHERE version = 1"),
+    "txn_escrow_conserved": "SELECT l_orderkey AS txn, count(*) FILTER (l_linenumber % 2 = 1) = count(*) FILTER (l_linenumber % 2 = 0) AS conserved FROM lineitem GROUP BY ALL",
+    "txn_write_set_digest": _with(BATCHES, "SELECT txn, sha256(string_agg(printf('%010d=%d', key, delta), ';' ORDER BY key)) AS digest FROM co GROUP BY ALL"),
+    "txn_blocked": _with(EVENTS, """SELECT key, seq, CASE WHEN kind = 'click' AND (SELECT arg_max(p.kind, p.seq) FROM ev p WHERE p.key = e.key AND p.seq < e.seq AND p.kind IN ('signup', 'purchase', 'error')) = 'signup'
+        THEN 'TxnConflict' ELSE 'Ok' END AS status FROM ev e WHERE kind IN ('click', 'view')"""),
+    "txn_resolve": _with(EVENTS + """, nx AS (SELECT seq, now_us, kind, lead(kind) OVER (PARTITION BY key ORDER BY seq) AS after FROM ev WHERE kind IN ('signup', 'purchase', 'error'))""", """SELECT seq AS txn,
+        CASE after WHEN 'purchase' THEN 'Finalize' WHEN 'error' THEN 'Release' ELSE CASE WHEN (SELECT max(now_us) FROM ev) - now_us > 216000000000 THEN 'Abort' ELSE 'Wait' END END AS action FROM nx WHERE kind = 'signup'"""),
+    "read_at_least": _with(EVENTS + ", al AS (SELECT key % 8 AS lane, max(seq) - 40 AS applied FROM ev WHERE seq % 3 <> 0 GROUP BY ALL)", """SELECT seq AS id,
+        CASE WHEN lane IS NULL THEN 'Unavailable' WHEN seq % 9 = 0 THEN 'StaleToken' WHEN applied >= seq THEN 'Ok' ELSE 'Unavailable' END AS status FROM ev LEFT JOIN al ON lane = key % 10 WHERE kind = 'view'"""),
+    "telemetry_latest": _with(TELEMETRY, "SELECT scope, \"window\", sequence, item, stall FROM te QUALIFY row_number() OVER (PARTITION BY scope, \"window\" ORDER BY sequence DESC) = 1"),
+    "telemetry_pressure": _with(TELEMETRY, """SELECT scope, "window", max(stall) AS max_depth, CAST(sum(stall) AS DOUBLE) / count(*) AS mean_depth,
+        CAST(sum(stall) AS DOUBLE) / nullif(CAST(sum(latency_ns) AS DOUBLE), 0) AS service_ratio, count(*) FILTER (tail) AS rejections FROM te GROUP BY ALL"""),
+    "telemetry_savings": """SELECT "group", CAST(p AS DOUBLE) / r AS ratio, CAST(r - p AS DOUBLE) / r AS savings FROM (
+        SELECT l_suppkey AS "group", sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS r, sum(CAST(round(l_extendedprice * 100) AS BIGINT) + l_linenumber * 1000 - l_partkey) AS p FROM lineitem GROUP BY ALL)""",
+    "storage_adopt_compression": "SELECT o_orderkey AS key, 100 * (r * (o_custkey % 30) // 100) >= 15 * r AS adopted FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS r FROM orders)",
+    "telemetry_hardware": _with(EVENTS + ", hw AS (SELECT key % 50 AS scope, min(seq % 101 + 5) AS trust, max(k) AS mk, max(cents) AS mc, CAST(sum(k) AS BIGINT) AS misses FROM ev GROUP BY ALL)", """SELECT scope, trust,
+        mk / 100 AS stall, mc / 10000 AS ipc, misses, CASE WHEN mk > 35 AND misses > 200 THEN 'Memory' WHEN mc >= 15000 AND mk < 15 THEN 'Cpu' ELSE 'Neither' END AS bound FROM hw"""),
+    "telemetry_evidence": _with(TELEMETRY, "SELECT scope, min(sequence) AS oldest, max(sequence) AS newest, min(sequence % 997) AS confidence, bit_or(1::BIGINT << CAST(item % 13 AS INT)) AS sources FROM te GROUP BY ALL"),
+    "telemetry_access_rollup": _with(TELEMETRY + ", ac AS (SELECT scope, item, CAST(sum(reads) AS BIGINT) AS a, CAST(sum(stall) AS BIGINT) AS c, count(*) AS b FROM te GROUP BY ALL)", """SELECT scope, CAST(sum(a) AS BIGINT) AS accesses,
+        CAST(sum(a // 2) AS BIGINT) AS critical, CAST(sum(c) AS BIGINT) AS stall_ns, max(coalesce(c // nullif(a, 0), 1)) AS latency_ns, CAST(sum(b) + 1 AS BIGINT) AS bytes FROM ac GROUP BY ALL"""),
+    "telemetry_trials": """SELECT *, (most - least) / throughput AS spread FROM (SELECT l_suppkey AS name, median(t) AS throughput, min(t) AS least, max(t) AS most, median(q) AS latency, max(q) - min(q) AS latency_spread, bool_and(l_orderkey % 500 <> 7) AS valid
+        FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS t, CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY ALL)""",
+    "control_hysteresis": f"""WITH RECURSIVE {TELEMETRY}, hw AS (SELECT scope, "window", sum(writes) AS v FROM te GROUP BY ALL), hr AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY "window") AS n FROM hw), f(scope, n, "window", run) AS (
+        SELECT DISTINCT scope, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM hr
+        UNION ALL SELECT hr.scope, hr.n, hr."window", CASE WHEN v >= CASE WHEN run > 0 THEN 3 ELSE 5 END THEN run + 1 ELSE 0 END FROM f JOIN hr ON hr.scope = f.scope AND hr.n = f.n + 1
+    ) SELECT scope, "window", run FROM f WHERE n > 0""",
+    "control_repair_priority": _with(ASSETS, "SELECT p_partkey, priority FROM ap"),
+    "control_debt": _with(ASSETS, "SELECT domain, count(*) AS assets, CAST(sum(rb) AS BIGINT) AS bytes, max(priority) AS priority FROM ap WHERE priority > 0 GROUP BY ALL"),
+    "control_liveness": f"""WITH RECURSIVE {EVENTS}, pl AS (SELECT key % 20 AS key, seq, seq // 300 % 2 = 0 AS alive, row_number() OVER (PARTITION BY key % 20 ORDER BY seq) AS n FROM ev), f(key, n, seq, state, misses, since) AS (
+        SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 'Active', CAST(0 AS BIGINT), CAST(1000000000 AS BIGINT) FROM pl
+        UNION ALL SELECT pl.key, pl.n, pl.seq,
+            CASE WHEN alive THEN 'Active' WHEN state = 'Active' AND since + 1 < 120 THEN state WHEN state = 'Active' AND misses + 1 >= 4 THEN 'Suspect' WHEN state = 'Suspect' AND misses + 1 >= 14 THEN 'Unavailable' ELSE state END,
+            CASE WHEN alive THEN 0 ELSE misses + 1 END,
+            CASE WHEN NOT alive THEN since + 1 WHEN state = 'Unavailable' THEN 0 WHEN state = 'Active' THEN since + 1 ELSE since END
+        FROM f JOIN pl ON pl.key = f.key AND pl.n = f.n + 1
+    ) SELECT key, seq, state, misses FROM f WHERE n > 0""",
+}

@@ -345,3 +345,136 @@ def storage_reclaim(spark: SparkSession, d: str) -> DataFrame:
     segments = e.groupBy(F.expr("seq div 64").alias("segment")).agg(F.max("seq").alias("last_seq"))
     floors = e.groupBy((F.col("key") % 8).alias("tablet")).agg(F.max("seq").alias("floor"))
     return storage.reclaimable(segments, floors)
+
+
+@query
+def stream_shards(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "customer").select("c_custkey", D.stream_shard(F.col("c_name"), 7).alias("shard"))
+
+
+@query
+def index_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Status and priority as terms, planned while every version was 1: entries of primaries written since are left out."""
+    o = S.entries(spark, d)
+    return index.backfill(o.select(F.col("key").alias("primary"), F.lit(1).cast("long").alias("version"), F.array("status", "priority").alias("terms")), o)
+
+
+@query
+def txn_escrow_conserved(spark: SparkSession, d: str) -> DataFrame:
+    line = S.table(spark, d, "lineitem")
+    before = F.col("l_quantity").cast("long")
+    return txn.escrow_conserved(line.select(F.col("l_orderkey").alias("txn"), before.alias("before"), (before + F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1)).alias("after")))
+
+
+@query
+def txn_write_set_digest(spark: SparkSession, d: str) -> DataFrame:
+    return txn.write_set_digest(batches(spark, d))
+
+
+@query
+def txn_blocked(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-ups prepare, purchases and errors decide, clicks mutate, views read."""
+    op = F.when(F.col("kind") == "signup", "prepare").when(F.col("kind") == "click", "mutate").when(F.col("kind") == "view", "read").otherwise("decide")
+    return txn.blocked(S.events(spark, d).select("key", "seq", op.alias("op")))
+
+
+@query
+def txn_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-ups are intents; the first purchase (commit) or error (abort) of the key behind one decides it."""
+    from pyspark.sql import Window
+
+    e = S.events(spark, d)
+    of = F.last(F.when(F.col("kind") == "signup", F.col("seq")), True).over(Window.partitionBy("key").orderBy("seq"))
+    votes = e.withColumn("txn", of).where("kind in ('purchase', 'error') and txn is not null")
+    decided = txn.decisions(votes.select("txn", "seq", F.when(F.col("kind") == "purchase", "Committed").otherwise("Aborted").alias("decision")))
+    now = e.agg(F.max("now_us")).first()[0] or 0
+    return txn.resolve(e.where("kind = 'signup'").select(F.col("seq").alias("txn"), F.col("now_us").alias("prepared_us")), decided, now, 60 * S.HOUR_US)
+
+
+@query
+def read_at_least(spark: SparkSession, d: str) -> DataFrame:
+    e = S.events(spark, d)
+    applied = e.where("seq % 3 <> 0").groupBy((F.col("key") % 8).alias("lane")).agg((F.max("seq") - 40).alias("applied"), F.lit(2).cast("long").alias("epoch"))
+    reads = e.where("kind = 'view'").select(F.col("seq").alias("id"), (F.col("key") % 10).alias("lane"), F.col("seq").alias("token"), F.when(F.col("seq") % 9 == 0, 1).otherwise(2).cast("long").alias("epoch"))
+    return contracts.at_least(reads, applied)
+
+
+@query
+def telemetry_latest(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.latest(S.telemetry(spark, d))
+
+
+@query
+def telemetry_pressure(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.pressure(S.telemetry(spark, d))
+
+
+@query
+def telemetry_savings(spark: SparkSession, d: str) -> DataFrame:
+    line = S.table(spark, d, "lineitem")
+    raw = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return telemetry.savings(line.select(F.col("l_suppkey").alias("group"), raw.alias("raw"), (raw + F.col("l_linenumber") * 1000 - F.col("l_partkey")).cast("long").alias("packed")))
+
+
+@query
+def storage_adopt_compression(spark: SparkSession, d: str) -> DataFrame:
+    o = S.table(spark, d, "orders")
+    raw = F.round(F.col("o_totalprice")).cast("long")
+    return storage.adopt_compression(o.select(F.col("o_orderkey").alias("key"), raw.alias("raw"), F.expr("cast(round(o_totalprice) as bigint) - cast(round(o_totalprice) as bigint) * (o_custkey % 30) div 100").alias("packed")))
+
+
+@query
+def telemetry_hardware(spark: SparkSession, d: str) -> DataFrame:
+    e = S.events(spark, d)
+    by = telemetry.extremes(e.select((F.col("key") % 50).alias("scope"), (F.col("seq") % 101 + 5).alias("trust"), (F.col("k") / 100).alias("stall"), (F.col("cents") / 10_000).alias("ipc"), F.col("k").alias("misses")))
+    return by.withColumn("bound", telemetry.bound_by(F.col("stall"), F.col("misses") / 1000, F.col("ipc")))
+
+
+@query
+def telemetry_evidence(spark: SparkSession, d: str) -> DataFrame:
+    t = S.telemetry(spark, d).withColumns({"confidence": F.col("sequence") % 997, "sources": F.expr("shiftleft(1L, cast(item % 13 as int))")})
+    return telemetry.evidence(t)
+
+
+@query
+def telemetry_access_rollup(spark: SparkSession, d: str) -> DataFrame:
+    by = S.telemetry(spark, d).groupBy("scope", "item").agg(F.sum("reads").alias("accesses"), F.sum("stall").alias("cpu_ns"), F.count(F.lit(1)).alias("bytes"))
+    return telemetry.access_rollup(by)
+
+
+@query
+def telemetry_trials(spark: SparkSession, d: str) -> DataFrame:
+    line = S.table(spark, d, "lineitem")
+    return telemetry.trials(line.select(F.col("l_suppkey").alias("name"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("throughput"), F.col("l_quantity").cast("long").alias("latency"), (F.col("l_orderkey") % 500 != 7).alias("valid")))
+
+
+@query
+def control_hysteresis(spark: SparkSession, d: str) -> DataFrame:
+    r = telemetry.rates(S.telemetry(spark, d))
+    return telemetry.hysteresis(r.select("scope", "window", F.col("writes").alias("value")), 5, 3)
+
+
+def assets(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as redundant assets of 4 fragments needed and 6 wanted, in 12 failure domains."""
+    p = S.table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("n"), F.col("p_size").cast("long").alias("s"))
+    return p.selectExpr(
+        "p_partkey", "n % 12 as domain", "s % 7 >= 4 as recoverable", "greatest(s % 7 - 4, 0) as tolerance", "s % 7 = 6 as meets_scheme", "greatest(4 - s % 7, 0) as fragment_deficit",
+        "2 - greatest(s % 7 - 4, 0) as tolerance_deficit", "n % 3 as unavailable_nodes", "n % 2 as draining_nodes", "n % 5 as corrupt_fragments", "n % 4 as unavailable_fragments",
+        "n % 6 as concentration_excess", "n % 7 as placement_violations", "abs(s % 7 - 6) as layout_drift", "n * 100000 as degraded_ms", "s * 1000 as unverified_ms", "n * 900000 as asset_bytes", "s * 1000000 * (s % 3) as rebuild_bytes",
+    )
+
+
+@query
+def control_repair_priority(spark: SparkSession, d: str) -> DataFrame:
+    return control.repair_priority(assets(spark, d)).select("p_partkey", "priority")
+
+
+@query
+def control_debt(spark: SparkSession, d: str) -> DataFrame:
+    return control.debt(control.repair_priority(assets(spark, d)))
+
+
+@query
+def control_liveness(spark: SparkSession, d: str) -> DataFrame:
+    """Polls of 20 nodes with outages of 300 events."""
+    return control.liveness(S.events(spark, d).select((F.col("key") % 20).alias("key"), "seq", F.expr("seq div 300 % 2 = 0").alias("alive")))
