@@ -14,8 +14,8 @@ between components is lost but by the miss probabilities (a pair of similarity 0
 
 Scale: signatures and texts move only for documents in buckets with two members or more; buckets stream through a task sorted
 by key. A hot centre's comparisons are dealt in blocks of CENTRE_BLOCK members, and those of the later rounds in blocks
-of BLOCK_SETS documents against the union of their candidates, so no row is ever made for each pair of a group. A bucket's
-signatures (128 bytes a member) are held by one task. Components come from alternating
+of BLOCK_SETS documents against the union of their candidates, so no row is ever made for each pair of a group. Signatures
+of a bucket are compared in blocks of PROPOSERS members, each in its own task. Components come from alternating
 minimum-label steps over verified links, in DataFrame joins.
 
 Defined cases: null or empty text has an empty set and no link; fewer words than a shingle: the whole sequence is one shingle;
@@ -43,6 +43,8 @@ MISS = 1e-7
 CENTRE_BLOCK = 512
 #: A block of later comparisons: sets held at once, and candidate pairs.
 BLOCK_SETS, BLOCK_PAIRS = 256, 200_000
+#: Signatures held by a task that looks for candidates across components: proposing members, and members streamed past them.
+PROPOSERS, MET = 4096, 8192
 #: Shingles hashed at once for a signature.
 BLOCK = 4096
 
@@ -173,41 +175,64 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(buckets: DataFrame, best_only: bool) -> DataFrame:
-    """u, its surviving candidates vs in other components of a bucket, and the bucket's smallest id as home. The bucket's
-    largest component proposes nothing: its pairs come up from the others. best_only: each member's best candidate."""
-    rows = buckets.repartition("key").sortWithinPartitions("key", "doc_id").select("key", "doc_id", "label", "sig")
+def _across(named: DataFrame, sigs: DataFrame, best_only: bool) -> DataFrame:
+    """u, its surviving candidates vs in other components of a bucket, and the bucket's smallest id as home, from the buckets
+    (key, doc_id, label) that hold several components. The bucket's largest component proposes nothing: its pairs come up from
+    the others. best_only: each member's best candidate. A bucket's proposing members are dealt into blocks; a task holds the
+    signatures of one block and streams the bucket's members past it, so its memory does not grow with the bucket."""
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.expr(f"ceil((sum(n) - max(n)) / {PROPOSERS})").alias("blocks"), F.min("least").alias("home"))
+    rows = named.join(mixed.where("labels > 1").drop("labels"), "key").join(sigs, "doc_id")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("side")))
+    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), F.lit(0).alias("side")))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("label") != F.col("largest"), F.concat(own, met)).otherwise(met)))
+    rows = rows.select("key", "place.block", "place.side", "doc_id", "label", "largest", "home", "sig")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "side", "doc_id")
 
     def run(batches):
         import pyarrow as pa
 
-        def proposals(ids, labels, sigs):
-            ids, labels = np.array(ids, np.int64), np.array(labels, np.int64)
-            sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
-            values, sizes = np.unique(labels, return_counts=True)
-            largest = values[sizes.argmax()]
-            for i in np.flatnonzero(labels != largest):
-                rest = np.flatnonzero((labels != labels[i]) & ((labels == largest) | (ids > ids[i]) | best_only))
-                alive, matches = survivors(sigs[i], sigs[rest])
-                if len(alive):
-                    yield int(ids[i]), ids[rest[alive[[matches.argmax()]] if best_only else alive]].tolist(), int(ids[0])
+        block, met, best, at, largest, home = [], [], {}, None, None, None
+
+        def compare():
+            ids, labels = (np.array([m[k] for m in met], np.int64) for k in (0, 1))
+            sigs = np.frombuffer(b"".join(m[2] for m in met), np.uint8).reshape(len(met), -1)
+            met.clear()
+            for u, label, sig in block:
+                rest = np.flatnonzero((labels != label) & ((labels == largest) | (ids > u) | best_only))
+                alive, matches = survivors(np.frombuffer(sig, np.uint8), sigs[rest])
+                if len(alive) and best_only:
+                    top = matches.argmax()
+                    if matches[top] > best.get(u, (-1, 0))[0]:
+                        best[u] = int(matches[top]), int(ids[rest[alive[top]]])
+                elif len(alive):
+                    yield u, ids[rest[alive]].tolist(), home
+
+        def finish():
+            if met:
+                yield from compare()
+            for u, (_, v) in best.items():
+                yield u, [v], home
+            block.clear(), best.clear()
 
         def batch_of(found):
-            u, vs, home = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(home, pa.int64())], names=["u", "vs", "home"])
+            u, vs, homes = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(homes, pa.int64())], names=["u", "vs", "home"])
 
-        held, key = ([], [], []), None
         for batch in batches:
             found = []
-            for k, d, label, sig in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "label", "sig")), strict=True):
-                if k != key:
-                    if len(held[0]) > 1:
-                        found += proposals(*held)
-                    held, key = ([], [], []), k
-                held[0].append(d), held[1].append(label), held[2].append(sig)
+            for k, b, side, d, label, top, least, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, b) != at:
+                    found += finish()
+                    at, largest, home = (k, b), top, least
+                if side == 0:
+                    block.append((d, label, sig))
+                    continue
+                met.append((d, label, sig))
+                if len(met) == MET:
+                    found += compare()
             yield batch_of(found)
-        if len(held[0]) > 1:
-            yield batch_of(list(proposals(*held)))
+        yield batch_of(list(finish()))
 
     return rows.mapInArrow(run, "u long, vs array<long>, home long")
 
@@ -290,9 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     for best_only in (True, False):
         labels = components(links)
         named = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-        buckets = named.join(mixed, "key", "left_semi").join(sigs, "doc_id").select("key", "doc_id", "label", "sig")
-        proposed = materialize(_across(buckets, best_only), "proposed")
+        proposed = materialize(_across(named, sigs, best_only), "proposed")
         if proposed.isEmpty():
             break
         links = materialize(links.unionByName(verify_blocks(proposed, one_text, words, threshold)), "links")

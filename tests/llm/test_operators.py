@@ -265,3 +265,23 @@ def test_repeated_rows(spark):
     assert exact_dedup.duplicate_groups(df).where("doc_id = 1 and kept and group_size = 3").count() == 2
     assert near_dedup.near_duplicates(df, 4).where("component_id = 1").count() == 3
     assert packing.pack(df, tokenizer("byte_bpe_50k.json")).count() == 4
+
+
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    """Buckets dealt into blocks of one proposing member give what whole buckets give."""
+    from lodestate.llm import near_dedup
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:at] + [f"x{n}"] + words[at:]) for n in range(6) for at in (5, 30, 55)] + [" ".join(words), " ".join(words[:40] + list("abcdefgh"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, near_dedup.near_duplicates(docs, words=4).collect()))
+    monkeypatch.setattr(near_dedup, "PROPOSERS", 1)
+    assert sorted(map(tuple, near_dedup.near_duplicates(docs, words=4).collect())) == whole
+    sets = dict(enumerate(near_dedup.shingle_sets(texts, 4)))
+    label = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {r[0]: r[2] for r in whole} == label
