@@ -4,7 +4,8 @@ A payload is stored as the samples of a mono 8-bit WAV file (`wav`), written as
 Features of one item: resampling by `UP`/`DOWN` with a windowed-sinc polyphase filter, frames of `FRAME` samples every `HOP`,
 Hann window, power spectrum, `MELS` triangular mel bands, natural logarithm; then segments by hysteresis: one opens when a
 frame's log energy rises above the high threshold and closes when it falls below the low one. The log-mel matrix is stored as a
-fixed-shape Arrow tensor: windows of `TENSOR_FRAMES` frames (the last padded with the floor), each with its time span in ms.
+fixed-shape Arrow tensor: windows of `TENSOR_FRAMES` frames (the last padded with the floor), each with its time span in ms. An
+item's windows are one Arrow stream (`pack`), the binary column of a Parquet table in the shared folder, as Spark has no such type.
 
 Each item is computed by itself in blocks of a fixed number of frames, so equal payloads give equal bits whatever their batch,
 and memory stays bounded for very long items.
@@ -136,27 +137,87 @@ def media_table(docs: DataFrame) -> DataFrame:
     return materialize(rows, "media")
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """One row per window of TENSOR_FRAMES frames: doc_id, window, start_ms, end_ms, mel (TENSOR_FRAMES x MELS, row-major)."""
+def frame_at(ms: int) -> int:
+    """The frame whose span_ms is ms."""
+    return -(-ms * RATE * UP // (HOP * 1000 * DOWN))
+
+
+def pack(mel: np.ndarray) -> bytes:
+    """An Arrow stream of the windows of a log-mel matrix: window, start_ms, end_ms and mel, a fixed-shape tensor."""
+    import pyarrow as pa
+
+    n = -(-len(mel) // TENSOR_FRAMES)
+    full = np.full((n, TENSOR_FRAMES, MELS), np.log(FLOOR), np.float32)
+    full.reshape(-1, MELS)[: len(mel)] = mel
+    starts = [span_ms(k * TENSOR_FRAMES) for k in range(n)]
+    ends = [span_ms(min(len(mel), (k + 1) * TENSOR_FRAMES)) for k in range(n)]
+    cols = [pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.FixedShapeTensorArray.from_numpy_ndarray(full)]
+    windows = pa.RecordBatch.from_arrays(cols, names=["window", "start_ms", "end_ms", "mel"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, windows.schema) as stream:
+        stream.write_batch(windows)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(stored: bytes):
+    """The windows of such a stream, a record batch."""
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(stored) as stream:
+        windows = stream.read_next_batch()
+    if windows.schema.field("mel").type != pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS)):
+        raise ValueError("not a log-mel tensor")
+    return windows
+
+
+def matrix(windows) -> np.ndarray:
+    """The log-mel matrix of all windows, without the padding: the last span tells the number of frames."""
+    frames = frame_at(windows.column("end_ms")[-1].as_py())
+    return windows.column("mel").to_numpy_ndarray().reshape(-1, MELS)[:frames]
+
+
+def tensor_table(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digests of the media as read back, and tensors (see `pack`) of every item, written to the shared folder."""
     tune(media.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        shape = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
         for b in batches:
-            for d, m in zip(b["doc_id"].to_pylist(), b["media"].to_pylist(), strict=True):
-                mel, _ = features(samples(m))
-                n = -(-len(mel) // TENSOR_FRAMES)
-                full = np.full((n * TENSOR_FRAMES, MELS), np.log(FLOOR), np.float32)
-                full[: len(mel)] = mel
-                store = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), TENSOR_FRAMES * MELS)
-                store = pa.ExtensionArray.from_storage(shape, store).storage.cast(pa.list_(pa.float32()))
-                starts = [span_ms(k * TENSOR_FRAMES) for k in range(n)]
-                ends = [span_ms(min(len(mel), (k + 1) * TENSOR_FRAMES)) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), store], names=["doc_id", "window", "start_ms", "end_ms", "mel"])
+            rows = []
+            for m in b["media"].to_pylist():
+                p = samples(m)
+                mel, _ = features(p)
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), pack(mel)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary"
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema), "tensors")
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, window int, start_ms long, end_ms long, mel array<float>")
+
+def windows(stored: DataFrame) -> DataFrame:
+    """The stored tensors as Spark rows, one per window: doc_id, window, start_ms, end_ms, mel (TENSOR_FRAMES x MELS, row-major).
+    Spark has no fixed-shape type, so here mel is a list; what is stored keeps its type."""
+    tune(stored.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for d, t in zip(b["doc_id"].to_pylist(), b["tensors"].to_pylist(), strict=True):
+                w = unpack(t)
+                mel = w.column("mel").storage.cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(w), pa.int64()), *w.columns[:3], mel], names=["doc_id", "window", "start_ms", "end_ms", "mel"])
+
+    return stored.select("doc_id", "tensors").mapInArrow(run, "doc_id long, window int, start_ms long, end_ms long, mel array<float>")
+
+
+def tensors(media: DataFrame) -> DataFrame:
+    """The windows of every item, stored and read back."""
+    return windows(tensor_table(media))
 
 
 def summary(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
@@ -166,21 +227,18 @@ def summary(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What was stored, read back: payload and media digests and a summary of the features."""
-    tune(media.sparkSession)
+    """What was stored, read back: payload and media digests and a summary of the features, derived from the stored tensors."""
+    stored = tensor_table(media)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = []
-            for m in b["media"].to_pylist():
-                p = samples(m)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), summary(*features(p))))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
+            found = []
+            for t in b["tensors"].to_pylist():
+                mel = matrix(unpack(t))
+                found.append(summary(mel, segments(mel)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], names=[*b.schema.names[:-1], "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.mapInArrow(run, schema)

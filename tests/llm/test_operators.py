@@ -237,6 +237,25 @@ def test_audio(docs, corpus):
     assert all(len(r["mel"]) == audio.TENSOR_FRAMES * audio.MELS and r["start_ms"] < r["end_ms"] for r in spans)
 
 
+def test_audio_tensors_stored(spark, docs, corpus):
+    """Every document has stored windows of the fixed-shape type with spans, and the query's features come from what is stored."""
+    import pyarrow as pa
+
+    media = audio.media_table(docs.unionByName(spark.createDataFrame([(None, "ab " * 9000, "", "", "", 0), (9, "other", "", "", "", 0)], DOCS)))
+    stored = audio.tensor_table(media)
+    assert stored.inputFiles() and stored.count() == len(corpus) + 2
+    raw = {(m["doc_id"], hashlib.sha256(m["media"]).hexdigest()): m["media"] for m in media.collect()}
+    for r in stored.collect():
+        w = audio.unpack(r["tensors"])
+        assert w.schema.field("mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.TENSOR_FRAMES, audio.MELS))
+        mel, spans = audio.features(audio.samples(raw[r["doc_id"], r["media_sha256"]]))
+        assert audio.matrix(w).tobytes() == mel.tobytes()
+        starts, ends = w.column("start_ms").to_pylist(), w.column("end_ms").to_pylist()
+        assert starts[0] == 0 and starts[1:] == ends[:-1] and ends[-1] == audio.span_ms(len(mel))
+    plan = audio.digests(media)._jdf.queryExecution().toString()
+    assert "tensors" in plan and "media#" not in plan
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "http://x.org", "http://y.com/de/1#f", "ftp://z.com/fr/", "http://notexample.org.net/", None, "no-scheme", "http://h.net/en/5"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
