@@ -146,6 +146,39 @@ class Semaphore:
         return "Ok", self.used
 
 
+class Stream:
+    """A shard of a stream: offsets rise by one with each accepted append, a trim drops the retained entries up to an offset."""
+
+    MAX_ENTRIES, MAX_BYTES = 1024, 64 << 10
+
+    def __init__(self):
+        self.first, self.next = None, 0
+
+    def apply(self, op: str, through: int | None, partition_bytes: int | None, payload_bytes: int | None) -> tuple:
+        """status, offset (of an accepted append), removed (by a trim), next_offset, retained (both after the operation).
+        trim_behind drops through the next offset less `through`, as a client does that has just read the shard."""
+        status, offset, removed = "Ok", None, None
+        if op == "create":
+            if self.first is None:
+                self.first = 0
+            else:
+                status = "WrongType"
+        elif op == "append":
+            if self.first is None:
+                status = "NotFound"
+            elif max(partition_bytes, payload_bytes) > self.MAX_BYTES or self.next - self.first >= self.MAX_ENTRIES:
+                status = "StreamFull"
+            else:
+                offset, self.next = self.next, self.next + 1
+        else:
+            keep = (self.next - through if op == "trim_behind" else through) + 1
+            before, removed = self.first, 0
+            if before is not None:
+                self.first = min(max(before, keep), self.next)
+                removed = self.first - before
+        return status, offset, removed, self.next, self.next - (self.next if self.first is None else self.first)
+
+
 def ordered_fold(log: DataFrame, machine: type, columns: list[str], results: str) -> DataFrame:
     """key, seq and the results of every operation, applied in order of seq to one machine for each key. Rows stream through a
     task sorted by key and seq, so only the state of one key is held, however many operations it has."""
@@ -185,10 +218,9 @@ def leases(log: DataFrame) -> DataFrame:
     return ordered_fold(log, Lease, ["op", "now_us", "owner", "ttl_us"], "status string, fencing long")
 
 
-def stream_offsets(log: DataFrame, shards: int) -> DataFrame:
-    """shard, offset, partition, seq: appends numbered from 0 within their shard."""
-    shard = F.col("key") % shards
-    return log.select(shard.alias("shard"), (F.row_number().over(Window.partitionBy(shard).orderBy("seq")) - 1).cast("long").alias("offset"), F.col("key").alias("partition"), "seq")
+def streams(log: DataFrame) -> DataFrame:
+    """The outcome of every create, append and trim of a stream's shards."""
+    return ordered_fold(log, Stream, ["op", "through", "partition_bytes", "payload_bytes"], "status string, offset long, removed long, next_offset long, retained long")
 
 
 def exactly_once(log: DataFrame, session: str, request: str, order: str) -> DataFrame:

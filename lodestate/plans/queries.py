@@ -115,16 +115,37 @@ def escrow_transfer(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.expr("a.key").alias("donor"), F.expr("b.key").alias("recipient"), F.when(ok, "Ok").otherwise("Conflict").alias("status"), (F.expr("a.max") - F.when(ok, give).otherwise(0)).alias("donor_max"), (F.expr("b.max") + F.when(ok, give).otherwise(0)).alias("recipient_max"))
 
 
+def accepted(log: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """shard, offset, partition and the event's id of every accepted append."""
+    took = outcomes.where("offset is not null").select(F.col("key").alias("shard"), "offset", "seq")
+    return took.join(log.where("op = 'append'").select("partition", "seq"), "seq").select("shard", "offset", "partition", F.expr("seq div 3").alias("seq"))
+
+
 @query
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
-    return fold.stream_offsets(S.events(spark, d), 4)
+    """The appends that the shards accept, under the limits of a shard and hourly trims."""
+    log = S.stream_log(spark, d)
+    return accepted(log, fold.streams(log))
+
+
+@query
+def stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Status, offset and entries retained of every operation of the same log."""
+    op = F.element_at(F.array(F.lit("create"), F.lit("trim"), F.lit("append")), (F.col("seq") % 3 + 1).cast("int"))
+    return fold.streams(S.stream_log(spark, d)).select(F.col("key").alias("shard"), F.expr("seq div 3").alias("seq"), op.alias("op"), "status", "offset", "removed", "next_offset", "retained")
 
 
 @query
 def stream_read_after_trim(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 20 entries of each shard from offset 100 on, after trimming through offset 110."""
-    rows = fold.stream_offsets(S.events(spark, d), 4).where("offset > 110 and offset >= 100")
-    return rows.where("offset < 131").select("shard", "offset", "seq")
+    """Up to 20 entries of each shard from offset 100 on, after a trim through offset 110 as the log's last operation. The log has
+    no trims before, so a shard refuses what comes after its first 1,024 appends."""
+    log = S.stream_log(spark, d, keep=None)
+    trims = log.groupBy("key").agg((F.max("seq") + 2).alias("seq"), F.lit("trim").alias("op"), F.lit(110).cast("long").alias("through"))
+    outcomes = fold.streams(log.unionByName(trims, allowMissingColumns=True))
+    ends = outcomes.groupBy(F.col("key").alias("shard")).agg((F.max_by("next_offset", "seq") - F.max_by("retained", "seq")).alias("first"))
+    start = F.greatest(F.col("first"), F.lit(100))
+    rows = accepted(log, outcomes).join(ends, "shard").where((F.col("offset") >= start) & (F.col("offset") < start + 20))
+    return rows.select("shard", "offset", "seq")
 
 
 @query

@@ -76,6 +76,23 @@ def semaphore_log(spark: SparkSession, sf_dir: str, groups: int = 20) -> DataFra
     return e.select((F.col("key") % groups).alias("key"), "seq", F.when(F.col("kind") == "click", "acquire").otherwise("release").alias("op"), F.coalesce(asked, F.lit(-1)).alias("permit"), F.col("key").alias("owner"), F.col("k").alias("qty"))
 
 
+def stream_log(spark: SparkSession, sf_dir: str, shards: int = 4, keep: int | None = 50) -> DataFrame:
+    """The first row of a shard creates it, every row appends its props to its user's partition; before its append, the first
+    row of each hour trims the shard to `keep` behind its next offset (no trims without). seq is three times the event's id,
+    plus 0 for a create, 1 for a trim, 2 for an append."""
+    e = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % shards).alias("key"), F.col("event_id").alias("seq"), F.expr(f"unix_micros(cast(ts as timestamp)) div {HOUR_US}").alias("hour"),
+        F.col("user_id").alias("partition"), F.coalesce(F.octet_length("props"), F.lit(0)).cast("long").alias("payload_bytes"),
+    )
+    creates = e.groupBy("key").agg((F.min("seq") * 3).alias("seq"), F.lit("create").alias("op"))
+    appends = e.select("key", (F.col("seq") * 3 + 2).alias("seq"), F.lit("append").alias("op"), "partition", F.octet_length(F.coalesce(F.col("partition").cast("string"), F.lit(""))).cast("long").alias("partition_bytes"), "payload_bytes")
+    log = appends.unionByName(creates, allowMissingColumns=True).withColumn("through", F.lit(keep).cast("long"))
+    if keep is None:
+        return log
+    trims = e.groupBy("key", "hour").agg((F.min("seq") * 3 + 1).alias("seq"), F.lit("trim_behind").alias("op"), F.lit(keep).cast("long").alias("through"))
+    return log.unionByName(trims.drop("hour"), allowMissingColumns=True)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a versioned ordered keyspace: a second version where the order key is a multiple of 5, gone at multiples of 17."""
     o = table(spark, sf_dir, "orders")
