@@ -48,6 +48,21 @@ def decisions(votes: DataFrame) -> DataFrame:
     return votes.groupBy("txn").agg(F.min_by("decision", "seq").alias("decision"), (F.count_distinct("decision") > 1).alias("conflict"))
 
 
+def plan_escrow(moves: DataFrame) -> DataFrame:
+    """moves (donor, recipient, amount, donor_value, and of both: min, max, capacity) with the status of each and both upper
+    shares after. The donor must keep what its value needs, the recipient must stay within its capacity; to itself nothing moves."""
+    amount, largest = F.col("amount"), F.lit(2**63 - 1)
+    donor, recipient = F.col("donor_max") - amount, F.col("recipient_max") + amount
+    overflows = (F.col("donor_max") < F.lit(-(2**63)) + amount), (F.col("recipient_max") > largest - amount)
+    status = (
+        F.when((amount <= 0) | overflows[0], "InvalidWrite").when((donor < F.col("donor_min")) | (F.col("donor_value") > donor), "Conflict")
+        .when(overflows[1], "InvalidWrite").when(recipient > F.col("recipient_capacity"), "InvalidWrite").otherwise("Ok")
+    )
+    moved = (F.col("status") == "Ok") & (F.col("donor") != F.col("recipient"))
+    after = {"donor_max": F.when(moved, donor).otherwise(F.col("donor_max")), "recipient_max": F.when(moved, recipient).otherwise(F.col("recipient_max"))}
+    return moves.withColumn("status", status).withColumns(after).select("donor", "recipient", "status", "donor_max", "recipient_max")
+
+
 def escrow_conserved(shares: DataFrame) -> DataFrame:
     """Whether the widths of all shares of a batch add up to the same before and after."""
     return shares.groupBy("txn").agg((F.sum("before") == F.sum("after")).alias("conserved"))

@@ -107,7 +107,8 @@ def semaphore_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def escrow_transfer(spark: SparkSession, d: str) -> DataFrame:
-    """Each bounded counter gives k = key + 1 of its right to the next one: verdict and shares after."""
+    """Each bounded counter gives k = key + 1 of its right to the next one: verdict and shares after. As its SQL, without the
+    recipient's capacity, which `escrow_outcomes` checks."""
     s = fold.bounded_add(S.bounded_log(spark, d), 500).select("key", "value", F.lit(500).cast("long").alias("max"))
     pairs = s.alias("a").join(s.alias("b"), F.expr("b.key = (a.key + 1) % 10"))
     give = F.expr("(a.key + 1) * 50")
@@ -115,6 +116,16 @@ def escrow_transfer(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.expr("a.key").alias("donor"), F.expr("b.key").alias("recipient"), F.when(ok, "Ok").otherwise("Conflict").alias("status"), (F.expr("a.max") - F.when(ok, give).otherwise(0)).alias("donor_max"), (F.expr("b.max") + F.when(ok, give).otherwise(0)).alias("recipient_max"))
 
 
+@query
+def escrow_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The same moves between shares of 400, under the counters' capacity of 500."""
+    s = fold.bounded_add(S.bounded_log(spark, d), 400)
+    pairs = s.alias("a").join(s.alias("b"), F.expr("b.key = (a.key + 1) % 10"))
+    share = {"donor_min": 0, "donor_max": 400, "recipient_max": 400, "recipient_capacity": 500}
+    moves = pairs.select(F.expr("a.key").alias("donor"), F.expr("b.key").alias("recipient"), F.expr("(a.key + 1) * 50").alias("amount"), F.expr("a.value").alias("donor_value"), *(F.lit(v).cast("long").alias(n) for n, v in share.items()))
+    return txn.plan_escrow(moves)
+
+
 def accepted(log: DataFrame, outcomes: DataFrame) -> DataFrame:
     """shard, offset, partition and the event's id of every accepted append."""
     took = outcomes.where("offset is not null").select(F.col("key").alias("shard"), "offset", "seq")

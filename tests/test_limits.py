@@ -1,7 +1,7 @@
 """Limits of the reference that the given tables do not reach, by hand-made logs."""
 
 from lodestate import registry
-from lodestate.operators import fold
+from lodestate.operators import fold, txn
 
 SF = "/root/testdata/sf0.001"
 STREAM = "key long, seq long, op string, through long, partition_bytes long, payload_bytes long"
@@ -34,3 +34,22 @@ def test_stream_outcomes(spark):
     assert sum(r["op"] == "append" and r["status"] == "Ok" for r in rows) == registry.QUERIES["stream_append"](spark, SF).count()
     full = fold.streams(oplog.stream_log(spark, "/root/testdata/sf0.01", keep=None)).where("status = 'Ok' and offset is not null")
     assert {r["key"]: r["count"] for r in full.groupBy("key").count().collect()} == dict.fromkeys(range(4), 1024)
+
+
+def test_escrow_capacity(spark):
+    """A recipient at its capacity takes nothing, a donor keeps what its value needs, and that is found first."""
+    top = 2**63 - 1
+    moves = [
+        (0, 1, 50, 300, 0, 400, 400, 500), (1, 2, 101, 0, 0, 400, 400, 500), (2, 3, 100, 300, 0, 400, 400, 500), (3, 4, 100, 301, 0, 400, 400, 500),
+        (4, 5, 401, 0, 0, 400, 400, 500), (5, 6, 0, 0, 0, 400, 400, 500), (6, 6, 50, 0, 0, 400, 400, 500), (7, 8, 1, 0, 0, 500, 500, 500), (8, 9, 2, 0, 0, 500, top - 1, top),
+    ]
+    names = "donor long, recipient long, amount long, donor_value long, donor_min long, donor_max long, recipient_max long, recipient_capacity long"
+    got = {r["donor"]: r[2:] for r in txn.plan_escrow(spark.createDataFrame(moves, names)).collect()}
+    assert got[0] == ("Ok", 350, 450) and got[1] == ("InvalidWrite", 400, 400) and got[2] == ("Ok", 300, 500) and got[3] == ("Conflict", 400, 400)
+    assert got[4] == ("Conflict", 400, 400) and got[5] == ("InvalidWrite", 400, 400) and got[6] == ("Ok", 400, 400) and got[7] == ("InvalidWrite", 500, 500) and got[8] == ("InvalidWrite", 500, top - 1)
+
+
+def test_escrow_outcomes(spark):
+    rows = registry.QUERIES["escrow_outcomes"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["status"] for r in rows} == {"Ok", "Conflict", "InvalidWrite"}
+    assert all(r["recipient_max"] <= 500 and r["donor_max"] + r["recipient_max"] == 800 for r in rows)
