@@ -8,7 +8,8 @@ its parent template, `(bad + prior_weight * parent) / (labelled + prior_weight)`
 is smoothed towards the rate of all labels, one half at most, so no host is rejected without labels of its own. A url is rejected when its deepest template's purity exceeds `reject_above`.
 
 Everything learned is grouped by (host, template) and never by url: a hot host is pre-aggregated before each shuffle, and
-urls look templates up in joins that AQE can split. The tree has `depth` levels; deeper segments do not count.
+urls look templates up in joins that AQE can split. The tree has as many levels as the longest path has segments. Each level
+holds only the urls that have a segment there; a url's walk ends with its last segment, so a rare long path costs little.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and is allowed unless a rule fits; without
 any label every url is allowed; repeated rows are judged alike; an empty table gives an empty result.
@@ -16,12 +17,13 @@ any label every url is allowed; repeated rows are judged alike; an empty table g
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-DEPTH = 4
 MAX_CHILDREN = 50
 MIN_SUPPORT = 20
 PRIOR_WEIGHT = 5.0
@@ -58,24 +60,24 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _segments(depth: int) -> Column:
-    return F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, depth)
+def _segments() -> Column:
+    return F.filter(F.split("path", "/"), lambda s: s != "")
 
 
-def learn_templates(labelled: DataFrame, depth: int, max_children: int, min_support: int, prior_weight: float, z: float) -> list[DataFrame]:
+def learn_templates(labelled: DataFrame, max_children: int, min_support: int, prior_weight: float, z: float) -> list[DataFrame]:
     """Tables by level: (host, parent, seg, node, purity), where seg null stands for any segment without its own branch.
     labelled: host, path and bad (1.0, 0.0 or null where unlabelled)."""
-    urls = labelled.select("host", _segments(depth).alias("segs"), "bad").groupBy("host", "segs").agg(
+    urls = labelled.select("host", _segments().alias("segs"), "bad").groupBy("host", "segs").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.count("bad").alias("known")
     )
     urls = materialize(urls.fillna(0.0, ["bad"]), "urls")
-    overall = urls.agg(F.try_divide(F.sum("bad"), F.sum("known")).alias("p")).first()["p"]
-    prior = F.lit(min(0.5, overall or 0.0))
+    overall = urls.agg(F.try_divide(F.sum("bad"), F.sum("known")).alias("p"), F.max(F.size("segs")).alias("longest")).first()
+    prior = F.lit(min(0.5, overall["p"] or 0.0))
     smooth = lambda parent: (F.col("bad") + prior_weight * parent) / (F.col("known") + prior_weight)
     hosts = urls.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
     levels = [materialize(hosts.select("host", smooth(prior).alias("purity"), F.lit("").alias("node")), "level")]
     at = urls.withColumn("node", F.lit(""))
-    for level in range(depth):
+    for level in range(overall["longest"] or 0):
         seg = F.element_at("segs", level + 1)
         here = at.where(F.size("segs") > level).withColumn("seg", seg)
         kids = here.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
@@ -105,7 +107,6 @@ def learn_templates(labelled: DataFrame, depth: int, max_children: int, min_supp
 def filter_urls(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] = RULES,
-    depth: int = DEPTH,
     max_children: int = MAX_CHILDREN,
     min_support: int = MIN_SUPPORT,
     prior_weight: float = PRIOR_WEIGHT,
@@ -118,21 +119,20 @@ def filter_urls(
     rule, says = rule_columns(rules)
     judged = materialize(judged.withColumns({"rule": rule, "ruled": says}), "judged")
     bad = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("double"))
-    levels = learn_templates(judged.select("host", "path", bad.alias("bad")), depth, max_children, min_support, prior_weight, z)
-    shapes = judged.where("ruled is null").select("host", "path").distinct().withColumn("segs", _segments(depth))
+    levels = learn_templates(judged.select("host", "path", bad.alias("bad")), max_children, min_support, prior_weight, z)
+    shapes = judged.where("ruled is null").select("host", "path").distinct().withColumn("segs", _segments())
     shapes = shapes.join(levels[0], "host", "left").withColumn("node", F.lit(""))
+    ended = [shapes.where(F.size("segs") == 0).select("host", "path", F.col("node").alias("template"), "purity")]
     for level, branches in enumerate(levels[1:]):
         named = branches.select("host", F.col("parent").alias("node"), "branch", F.col("purity").alias("own_purity"))
-        seg = F.when(F.size("segs") > level, F.element_at("segs", level + 1))
         exact = named.where("branch <> '*'").withColumnRenamed("branch", "seg")
         rest = named.where("branch = '*'").select("host", "node", F.col("own_purity").alias("rest_purity"))
-        shapes = shapes.withColumn("seg", seg).join(exact, ["host", "node", "seg"], "left").join(rest, ["host", "node"], "left")
-        step = F.when(F.col("seg").isNull(), "").when(F.col("own_purity").isNotNull(), F.concat(F.lit("/"), "seg")).otherwise("/*")
-        shapes = shapes.select(
-            "host", "path", "segs", F.concat("node", step).alias("node"),
-            F.when(F.col("seg").isNull(), F.col("purity")).otherwise(F.coalesce("own_purity", "rest_purity", "purity")).alias("purity"),
-        )
-    found = shapes.select("host", "path", F.col("node").alias("template"), "purity")
+        shapes = shapes.where(F.size("segs") > level).withColumn("seg", F.element_at("segs", level + 1))
+        shapes = shapes.join(exact, ["host", "node", "seg"], "left").join(rest, ["host", "node"], "left")
+        step = F.when(F.col("own_purity").isNotNull(), F.concat(F.lit("/"), "seg")).otherwise("/*")
+        shapes = materialize(shapes.select("host", "path", "segs", F.concat("node", step).alias("node"), F.coalesce("own_purity", "rest_purity", "purity").alias("purity")), "shapes")
+        ended.append(shapes.where(F.size("segs") == level + 1).select("host", "path", F.col("node").alias("template"), "purity"))
+    found = functools.reduce(DataFrame.unionByName, ended)
     learned = F.when(F.col("purity") > reject_above, "block").otherwise("allow")
     open_rows = judged.where("ruled is null").join(found, ["host", "path"], "left").withColumn("verdict", learned)
     ruled = judged.where("ruled is not null").withColumns({"template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double"), "verdict": F.col("ruled")})

@@ -265,6 +265,18 @@ def test_url_rules(spark):
     assert got[5] == ("notexample.org.net", "/", None, "allow") and got[6] == got[7] == ("", "", None, "allow") and got[8][2] is None
 
 
+def test_url_depth(spark):
+    """Branches that differ only from the sixth segment on have templates and purities of their own."""
+    urls = [f"http://h.net/a/b/c/d/e/{kind}/g/{n}" for kind in ("bad", "good") for n in range(60)] + ["http://h.net/a/b", "http://h.net", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("h.net", f"/a/b/c/d/e/{kind}/g/{n}", says) for kind, says in (("bad", "block"), ("good", "allow")) for n in range(10, 50)]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, rules=rules).collect()}
+    assert len(got) == len(urls)
+    assert {got[i]["verdict"] for i in range(50, 60)} == {"block"} and {got[60 + i]["verdict"] for i in range(50, 60)} == {"allow"}
+    assert got[55]["template"].endswith("/bad/*/*") and got[115]["template"].endswith("/good/*/*") and got[55]["purity"] > 0.9 > 0.1 > got[115]["purity"]
+    assert got[120]["template"].count("/") == 2 and got[121]["template"] == "" and got[122]["verdict"] == "allow"
+
+
 def test_empty_tables(spark, empty):
     path = tokenizer("word_bpe_49k.json")
     frames = [
