@@ -5,11 +5,12 @@ average goes through a linear layer and a softmax. As both steps are linear, a p
 matrices: one row of class scores for each bucket.
 
 Calibration: on labelled texts kept out of the training, a temperature is chosen by log loss, and the rejection threshold
-is the score below which `REJECT_SHARE` of the correctly predicted texts fall, at most `REJECT_BELOW`. `accepted` is false
-for scores below it and for texts without a letter.
+is the score below which `REJECT_SHARE` of the correctly predicted texts fall. `accepted` is false for scores below it and
+for texts without a letter.
 
-The model is fitted on at most `SAMPLE_DOCS` labelled documents (by a hash of the id over the whole table) and their first
-`SAMPLE_BYTES` bytes: a documented bound of the training only. Predictions read every whole text.
+The model is fitted and calibrated on at most `SAMPLE_DOCS` labelled documents (by a hash of the id over the whole table): a
+documented bound of the training only. Their whole texts are read where they lie; only counts by bucket come to the driver.
+Predictions read every whole text.
 
 Defined cases: null text or one without a letter is `und` with score 0; without a labelled row every text is `und`; equal
 texts get equal results; an empty table gives an empty result; other columns of the input are not read.
@@ -28,12 +29,10 @@ from .common import tune
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 SAMPLE_DOCS = 3000
-SAMPLE_BYTES = 1500
 EPOCHS = 6
 BATCH = 32
 LEARNING_RATE = 0.6
-REJECT_SHARE = 0.0005
-REJECT_BELOW = 0.35
+REJECT_SHARE = 0.01
 #: A text is scored in blocks of so many bytes, so that memory stays bounded.
 BLOCK_BYTES = 1 << 18
 
@@ -72,17 +71,23 @@ class LanguageModel:
         return self.classes[k], float(p[k]), bool(p[k] >= self.threshold)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
-    """Fit by stochastic gradient descent on four fifths of the texts, calibrate on the rest."""
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's subwords, ascending, and how often each occurs."""
+    raw, count = np.frombuffer(text.encode(), np.uint8), np.zeros(BUCKETS, np.int64)
+    for a in range(0, len(raw), BLOCK_BYTES):
+        count += np.bincount(subwords(raw[a : a + BLOCK_BYTES + 3]), minlength=BUCKETS)
+    ids = np.flatnonzero(count)
+    return ids.astype(np.uint16), count[ids]
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7) -> LanguageModel:
+    """Fit by stochastic gradient descent on four fifths of the texts (their `bucket_counts`), calibrate on the rest."""
     classes = sorted(set(langs))
     empty = LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     if not classes:
         return empty
     rng = np.random.default_rng(seed)
-    x = []
-    for t in texts:
-        i, c = np.unique(subwords(np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8)), return_counts=True)
-        x.append((i, (c / max(1, c.sum())).astype(np.float32)))
+    x = [(i, (c / max(1, c.sum())).astype(np.float32)) for i, c in counts]
     y = np.array([classes.index(v) for v in langs])
     order = rng.permutation(len(x))
     held = order[: len(x) // 5]
@@ -120,7 +125,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     model.temperature = float(min(temperatures, key=lambda t: -np.log(soft(t)[np.arange(len(held)), y[held]] + 1e-12).mean()))
     p = soft(model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    model.threshold = float(min(REJECT_BELOW, np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
+    model.threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
     return model
 
 
@@ -133,9 +138,20 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learn from labelled documents outside the held-out fold."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2))
     chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang")
-    rows = sorted(rows.limit(2 * sample_docs).collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    tune(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [bucket_counts(t) for t in b["text"].to_pylist()]
+            ids, n = (pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], ids, n], names=["doc_id", "lang", "ids", "n"])
+
+    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+    rows = rows.mapInArrow(run, "doc_id long, lang string, ids binary, n binary").limit(2 * sample_docs).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["ids"], r["n"], r["lang"]))
+    return train([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["n"], np.int64)) for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -224,6 +224,24 @@ def test_language_id(spark, docs):
     assert {odd[i]["lang_pred"] for i in (0, 1, 2, 5)} == {"und"} and all(0 <= r["score"] <= 1 for r in odd.values())
 
 
+def test_language_rejects(spark):
+    """A language that was not learned is rejected, about 1 % of the learned ones is; what follows a long head is learned too."""
+    en, fr, de = "the of and is to in that it was", "le la les des un une est dans que", "der und nicht auch ich sich mit dem zwischen"
+    rng = random.Random(2)
+    head = "0123 4567 89 " * 200
+    said = lambda v, n: " ".join(rng.choice(v.split()) for _ in range(n))
+    texts = [(i, head * (i % 3 == 0) + said((en, fr)[i % 2], rng.randrange(200, 600)), ("en", "fr")[i % 2]) for i in range(1200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    odd = [said(de, 300) for _ in range(50)] + ["".join(rng.choice("qxzjkvwbpfgh ") for _ in range(600)) for _ in range(50)]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    assert language_id.identify(asked, model).where("accepted").count() <= 2 and language_id.keep_identified(asked, model).count() <= 2
+    held = [r for r in language_id.identify(df, model).collect() if r["held_out"]]
+    assert sum(r["accepted"] for r in held) > 0.94 * len(held)
+    long = [r for r in held if r["doc_id"] % 3 == 0]
+    assert all(r["lang_pred"] == ("en", "fr")[r["doc_id"] % 2] for r in long)
+
+
 def test_audio(docs, corpus):
     media = audio.media_table(docs)
     got = {r["doc_id"]: r for r in audio.digests(media).collect()}
