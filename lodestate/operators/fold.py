@@ -179,6 +179,30 @@ class Stream:
         return status, offset, removed, self.next, self.next - (self.next if self.first is None else self.first)
 
 
+class Session:
+    """Outcomes of a client session that it has not acknowledged yet; MAX_OUTCOMES are retained at most."""
+
+    MAX_OUTCOMES = 1024
+
+    def __init__(self):
+        self.floor, self.outcomes = 0, {}
+
+    def apply(self, request: int, ack: int, seq: int) -> tuple:
+        """status, the seq whose outcome is answered, floor after. A request is judged by its own acknowledgement too, but that
+        frees outcomes and raises the floor only if the request is admitted."""
+        if request <= max(self.floor, ack):
+            return "Expired", None, self.floor
+        if request in self.outcomes:
+            return "Replay", self.outcomes[request], self.floor
+        if len(self.outcomes) >= self.MAX_OUTCOMES:
+            return "Overloaded", None, self.floor
+        if ack > self.floor:
+            self.floor = ack
+            self.outcomes = {r: at for r, at in self.outcomes.items() if r > ack}
+        self.outcomes[request] = seq
+        return "Ok", seq, self.floor
+
+
 def ordered_fold(log: DataFrame, machine: type, columns: list[str], results: str) -> DataFrame:
     """key, seq and the results of every operation, applied in order of seq to one machine for each key. Rows stream through a
     task sorted by key and seq, so only the state of one key is held, however many operations it has."""
@@ -223,6 +247,11 @@ def streams(log: DataFrame) -> DataFrame:
     return ordered_fold(log, Stream, ["op", "through", "partition_bytes", "payload_bytes"], "status string, offset long, removed long, next_offset long, retained long")
 
 
+def sessions(log: DataFrame) -> DataFrame:
+    """The answer to every attempt of every session's requests (key: the session)."""
+    return ordered_fold(log.withColumn("at", F.col("seq")), Session, ["request", "ack", "at"], "status string, answered long, floor long")
+
+
 def exactly_once(log: DataFrame, session: str, request: str, order: str) -> DataFrame:
     """The first row of each (session, request): later ones replay its outcome. Pre-aggregated before the shuffle."""
     rest = [c for c in log.columns if c not in (session, request)]

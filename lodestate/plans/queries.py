@@ -273,6 +273,12 @@ def exactly_once(spark: SparkSession, d: str) -> DataFrame:
     return fold.exactly_once(log.select("session", "request", "commit", "delta"), "session", "request", "commit")
 
 
+@query
+def session_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Each attempt of the retries log: executed (Ok), replayed, Expired below the acknowledged floor, or Overloaded."""
+    return fold.sessions(S.retry_log(spark, d)).withColumnRenamed("key", "session")
+
+
 @query
 def read_bounded_stale(spark: SparkSession, d: str) -> DataFrame:
     e = S.events(spark, d)

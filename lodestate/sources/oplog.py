@@ -93,6 +93,17 @@ def stream_log(spark: SparkSession, sf_dir: str, shards: int = 4, keep: int | No
     return log.unionByName(trims.drop("hour"), allowMissingColumns=True)
 
 
+def retry_log(spark: SparkSession, sf_dir: str, sessions: int = 40, lag: int = 8) -> DataFrame:
+    """The counter log as numbered requests of sessions, each acknowledging what lies `lag` requests back. Every 11th is sent
+    again: where its event's id is odd at once, else 12 requests later, when it has been acknowledged."""
+    w = Window.partitionBy("key").orderBy("event")
+    log = counter_log(spark, sf_dir).select((F.col("key") % sessions).alias("key"), F.col("seq").alias("event"), "delta")
+    log = log.withColumn("request", F.row_number().over(w).cast("long")).withColumn("ack", F.greatest(F.col("request") - lag, F.lit(0)))
+    later = F.when(F.col("event") % 2 == 1, 0).otherwise(12)
+    first, again = log.withColumn("seq", F.col("request") * 2), log.where("event % 11 = 0").withColumn("seq", (F.col("request") + later) * 2 + 1)
+    return first.unionByName(again)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a versioned ordered keyspace: a second version where the order key is a multiple of 5, gone at multiples of 17."""
     o = table(spark, sf_dir, "orders")

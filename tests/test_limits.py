@@ -53,3 +53,24 @@ def test_escrow_outcomes(spark):
     rows = registry.QUERIES["escrow_outcomes"](spark, "/root/testdata/sf0.01").collect()
     assert {r["status"] for r in rows} == {"Ok", "Conflict", "InvalidWrite"}
     assert all(r["recipient_max"] <= 500 and r["donor_max"] + r["recipient_max"] == 800 for r in rows)
+
+
+def test_session_floor_and_cap(spark):
+    """A late retry of an acknowledged request is Expired, 1,024 outcomes without acknowledgement are the most."""
+    log = [(0, 1, 1, 0), (0, 2, 1, 0), (0, 3, 2, 1), (0, 4, 1, 0), (0, 5, 2, 2), (0, 6, 3, 0)] + [(1, i, i, 0) for i in range(1, 1026)]
+    log += [(1, 2000, 5, 0), (1, 2001, 1025, 1), (1, 2002, 1026, 1)]
+    rows = fold.sessions(spark.createDataFrame(log, "key long, seq long, request long, ack long")).collect()
+    got = {(r["key"], r["seq"]): (r["status"], r["answered"], r["floor"]) for r in rows}
+    assert [got[0, i] for i in range(1, 7)] == [("Ok", 1, 0), ("Replay", 1, 0), ("Ok", 3, 1), ("Expired", None, 1), ("Expired", None, 1), ("Ok", 6, 1)]
+    assert all(got[1, i] == ("Ok", i, 0) for i in range(1, 1025)) and got[1, 1025] == ("Overloaded", None, 0)
+    assert got[1, 2000] == ("Replay", 5, 0) and got[1, 2001] == got[1, 2002] == ("Overloaded", None, 0)
+
+
+def test_session_outcomes(spark):
+    from lodestate.sources import oplog
+
+    n = {r["status"]: r["count"] for r in registry.QUERIES["session_outcomes"](spark, SF).groupBy("status").count().collect()}
+    sent = oplog.counter_log(spark, SF)
+    again = {odd: sent.where(f"seq % 22 = {11 * odd}").count() for odd in (0, 1)}
+    assert n["Ok"] == sent.count() and n["Replay"] + n["Expired"] == again[0] + again[1]
+    assert n["Replay"] >= again[1] and n["Expired"] > 0  # a late retry near its session's end is not acknowledged yet
