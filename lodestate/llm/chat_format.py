@@ -11,7 +11,7 @@ break inside a role becomes `~5`.
 
 Defined cases: null text and null role count as empty; messages of equal position keep the order given to
 `from_turns` (turn, role, text); an orphan (its parent is missing) counts as a root; an empty table gives no rows; a
-message on a parent cycle has no root and is on no path. Only the named columns of the input are read.
+message on a parent cycle has no root and is on no path; messages of the null tree are a tree of their own. Only the named columns of the input are read.
 """
 
 from __future__ import annotations
@@ -49,30 +49,34 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     ).select("tree", "node", F.expr("if(node > 1, node - 1, null)").alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def _join(left: DataFrame, right: DataFrame, node: str, how: str = "inner") -> DataFrame:
+    """left (as a) and right (as b) where a's column `node` is b's node in the same tree; the null tree is one too."""
+    return left.alias("a").join(right.alias("b"), F.expr(f"a.tree <=> b.tree and a.{node} = b.node"), how)
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every node on the path from each leaf to its root; up counts the steps from the leaf."""
     edges = messages.select("tree", "node", "parent")
-    known = edges.select("tree", F.col("node").alias("parent"))
-    jumps = [materialize(edges.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")), "jump")]
+    jumps = [materialize(_join(edges.where("parent is not null"), edges.select("tree", "node"), "parent", "left_semi").select("tree", "node", F.col("parent").alias("to")), "jump")]
     limit = max(1, messages.count()).bit_length() + 1
     while len(jumps) <= limit:
         step = jumps[-1]
-        longer = step.alias("a").join(step.alias("b"), F.expr("a.tree = b.tree and a.to = b.node")).select("a.tree", "a.node", F.col("b.to").alias("to"))
+        longer = _join(step, step, "to").select("a.tree", "a.node", F.col("b.to").alias("to"))
         longer = materialize(longer, "jump")
         if longer.isEmpty():
             break
         jumps.append(longer)
     parents = jumps[0].select("tree", F.col("to").alias("node"))
-    at = edges.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    at = _join(edges, parents, "node", "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
-        more = at.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        more = _join(at, jumps[k], "node").select("a.tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         at = materialize(at.unionByName(more), "path")
     return at
 
 
 def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """One row per chosen path: tree, leaf, score, formatted (string), loss (array of start and length in code points)."""
-    on_path = paths(messages).join(messages.select("tree", "node", "role", "text", "score"), ["tree", "node"])
+    on_path = _join(paths(messages), messages.select("tree", "node", "role", "text", "score"), "node").select("a.*", "role", "text", "score")
     part = F.when(F.col("role") == "assistant", F.concat(F.lit("<s>"), escape(F.col("text")), F.lit("</s>"))).otherwise(
         F.concat(F.lit("[INST] "), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"), escape(F.col("text")), F.lit(" [/INST]"))
     )

@@ -211,6 +211,26 @@ def test_chat_ranks_branches(spark):
     assert chat_format.format_paths(df, keep=5).count() == 3
 
 
+def test_chat_null_conversation(spark):
+    """The null conversation is one of its own, as in the query's SQL; its turns mix with no other's."""
+    import duckdb
+
+    from lodestate.llm.queries import ORACLE_SQL
+
+    turns = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", None), (None, 3, "assistant", "</s>b"), (0, 0, "user", "x"), (0, 1, "assistant", "y"), (7, 0, None, "z")]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = chat_format.digest(chat_format.format_paths(chat_format.from_turns(chat_format.with_control_case(spark, df))))
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn int, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", turns)
+    found = con.execute(ORACLE_SQL["op2_chat_trees"])
+    columns = [c[0] for c in found.description]
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, found.fetchall()))
+    tree = [(None, 1, None, "user", "q", 1.0), (None, 2, 1, "assistant", "bad", 0.1), (None, 3, 1, "assistant", "good", 0.9), (1, 3, 1, "user", "orphan", 0.2)]
+    best = chat_format.format_paths(spark.createDataFrame(tree, "tree long, node long, parent long, role string, text string, score double")).collect()
+    assert {r["tree"]: r["formatted"] for r in best} == {None: "[INST] user\nq [/INST]<s>good</s>", 1: "[INST] user\norphan [/INST]"}
+
+
 def test_language_id(spark, docs):
     en, fr = "the of and is to in that it was", "le la les des un une est dans que"
     rng = random.Random(1)
