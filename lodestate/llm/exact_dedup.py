@@ -10,7 +10,7 @@ cells/8 documents the filter lets more rows through, which stays exact and linea
 grouping, 72 bytes each. Groups are pre-aggregated before the shuffle, and the join back is one that AQE can split.
 
 Defined cases: null text counts as empty; rows that repeat a doc_id are counted as rows of their group and share its
-verdict; an empty table gives an empty result; further columns of the input are carried by `exact_dedup` untouched.
+verdict, but `exact_dedup` decides by (doc_id, digest) and keeps one row (the first by its columns) of those equal in both; an empty table gives an empty result; further columns of the input are carried by `exact_dedup` untouched.
 """
 
 from __future__ import annotations
@@ -79,6 +79,17 @@ def duplicate_groups(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of equal texts, the one with the smallest doc_id."""
-    gone = duplicate_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: of equal texts one row, with the smallest doc_id."""
+    digest, columns = F.sha2(normalized().cast("binary"), 256), docs.columns
+    seen = duplicate_groups(docs).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    seen = seen.where("not _kept or _rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_kept")
+    seen = materialize(seen, "seen")
+    rows = docs.withColumn("_text_sha", digest)
+    same = lambda some: rows["doc_id"].eqNullSafe(some["_id"]) & (rows["_text_sha"] == some["_sha"])
+    stay = rows.join(seen, same(seen), "left_anti").select(columns)
+    repeated = seen.where("_kept")
+    if repeated.isEmpty():
+        return stay
+    ordered = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    one = rows.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "_text_sha").agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias("_row"))
+    return stay.unionByName(one.select("_row.*"))

@@ -336,6 +336,16 @@ def test_repeated_rows(spark):
     assert packing.pack(df, tokenizer("byte_bpe_50k.json")).count() == 4
 
 
+def test_exact_dedup_repeated_ids(spark):
+    """One row of identical ones stays, and a doc_id's other text stays when one of its rows is a copy."""
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, "a  b", "y"), (2, "clean", "y"), (3, "c", "z"), (None, "c", "z"), (None, "d", "z"), (None, "d", "z"), (4, "e", "q"), (4, "e", "p"), (5, "f", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(map(tuple, exact_dedup.exact_dedup(df).collect()), key=repr)
+    assert got == sorted([(1, "a b", "x"), (2, "clean", "y"), (3, "c", "z"), (None, "d", "z"), (4, "e", "p"), (5, "f", None)], key=repr)
+    whole = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.exact_dedup(whole).collect())) == [(1, "a"), (3, "b")]
+
+
 def test_near_dedup_in_blocks(spark, monkeypatch):
     """Buckets dealt into blocks of one proposing member give what whole buckets give."""
     from lodestate.llm import near_dedup
