@@ -5,7 +5,8 @@ average goes through a linear layer and a softmax. As both steps are linear, a p
 matrices: one row of class scores for each bucket.
 
 Calibration: on labelled texts kept out of the training, a temperature is chosen by log loss, and the rejection threshold
-is the score below which `REJECT_SHARE` of the correctly predicted texts fall. `accepted` is false for scores below it and
+is the score below which `REJECT_SHARE` of the correctly predicted texts fall. With fewer than 1 / `REJECT_SHARE`
+such texts that score is unknown and no score is rejected. `accepted` is false for scores below it and
 for texts without a letter.
 
 The model is fitted and calibrated on at most `SAMPLE_DOCS` labelled documents (by a hash of the id over the whole table): a
@@ -125,7 +126,7 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: i
     model.temperature = float(min(temperatures, key=lambda t: -np.log(soft(t)[np.arange(len(held)), y[held]] + 1e-12).mean()))
     p = soft(model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    model.threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
+    model.threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) * REJECT_SHARE >= 1 else 0.0
     return model
 
 
