@@ -5,8 +5,9 @@ inner nodes hold the minimum of their children, so the root yields the leftmost
 most three leaves, each updated up to the root in logarithmic time, until the root holds no mergeable pair. All words of a
 batch run through their trees together in numpy, grouped by the power of two that holds their length.
 
-Text goes through the vocabulary's normaliser (NFC, lower case) and split pattern chunk by chunk, chunks being cut at ASCII
-white space, which no token spans (chunks with code points unassigned in this Python's Unicode are split by the library); the ids of frequent chunks are kept in a bounded cache of the worker.
+Texts are cut into units at certain token boundaries (see `pretokens`), each distinct unit once a batch. Units of plain chunks are
+the vocabulary's words already; others go through the vocabulary's own normaliser and split pattern, as its file states them. The
+ids of frequent units are kept in a bounded cache of the worker.
 
 Defined cases: null text counts as empty and has no ids; special tokens written in a text get their own ids, as in the
 tokenizers library; repeated rows repeat their result; a word of any length is encoded whole; an empty table gives an empty
@@ -17,21 +18,21 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, tune
+from .pretokens import buffers, distinct
 
-#: Chunks held by one cache; beyond that it starts anew.
-CACHE_CHUNKS = 250_000
+#: Units held by one generation of the cache; when one is full, the older goes.
+CACHE_UNITS = 250_000
 CACHE_BYTES = 64
 #: Cells of the trees that are worked on at once.
 TREE_CELLS = 1 << 20
 
-# The split pattern and the end mark of the word vocabulary.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+# Fixed value: the end mark of the word vocabulary.
 WORD_END = "</w>"
 
 
@@ -47,8 +48,8 @@ def byte_signs() -> list[str]:
 
 class SegmentTreeBPE:
     def __init__(self, path: str):
-        import numpy as np
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -64,24 +65,20 @@ class SegmentTreeBPE:
         first, index = np.unique(keys, return_index=True)
         self.keys, self.ranks, self.made = first, index, made
         self.none = len(pairs)
-        self.split = regex.compile(SPLIT)
-        self.path, self.library = path, None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.byte = {s: b for b, s in enumerate(byte_signs())}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.cache: dict[bytes, list[int]] = {}
-        self.texts: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, list[int]] = {}
 
     def _rank(self, left, right):
         """Merge rank of each pair, or `none`; a negative symbol has no pair."""
-        import numpy as np
-
         key = left * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
 
     def _merge(self, words: list[bytes], width: int) -> list[list[int]]:
         """Ids of words of at most `width` bytes, a power of two."""
-        import numpy as np
-
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -147,58 +144,83 @@ class SegmentTreeBPE:
                     out[i] = ids
         return out
 
-    def _words(self, chunk: str) -> list[bytes | int]:
-        """Pieces of a chunk: words as UTF-8, special tokens as ids."""
-        out: list[bytes | int] = []
-        for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part.isascii():
-                out += [w.encode() for w in self.split.findall(part.lower())]
-            elif any(unicodedata.category(c) == "Cn" for c in part):
-                out += self._library_words(part)
-            else:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [w.encode() for w in self.split.findall(plain)]
-        return out
-
-    def _library_words(self, part: str) -> list[bytes]:
-        """Words of text with code points that this Python's Unicode tables don't have: split by the library's tables."""
-        from tokenizers import Tokenizer
+    def _words(self, unit: bytes) -> list[bytes]:
+        """The words of a unit whose chunk is not plain, as UTF-8, by the vocabulary's normaliser and split pattern."""
+        text = self.tokenizer.normalizer.normalize_str(unit.decode())
+        return [bytes(self.byte[s] for s in w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-        tokenizer = self.library = self.library or Tokenizer.from_file(self.path)
-        byte = {s: b for b, s in enumerate(byte_signs())}
-        words = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part))
-        return [bytes(byte[s] for s in w) for w, _ in words]
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, list[int]]:
-        """Ids of chunks, none of which holds ASCII white space."""
-        split = {c: self._words(c.decode()) for c in chunks}
-        words = list({w for p in split.values() for w in p if isinstance(w, bytes)})
+    def learn(self, units: list[bytes], odd: list[bool]) -> dict[bytes, list[int]]:
+        """Ids of units; odd: of a chunk that is not plain."""
+        split = [self._words(u) if o else [u] for u, o in zip(units, odd, strict=True)]
+        words = list({w for p in split for w in p})
         known = dict(zip(words, self.encode_words(words), strict=True))
-        return {c: [i for w in p for i in (known[w] if isinstance(w, bytes) else (w,))] for c, p in split.items()}
-
-    def encode(self, text: str) -> list[int]:
-        chunks = text.encode().split()
-        known = self.learn(set(chunks))
-        return [i for c in chunks for i in known[c]]
+        return {u: known[p[0]] if len(p) == 1 else [i for w in p for i in known[w]] for u, p in zip(units, split, strict=True)}
+
+    def ids(self, units: list[bytes], odd) -> list[list[int]]:
+        """Ids of distinct units, from the cache or learnt now; long units are not kept."""
+        if len(self.cache) > CACHE_UNITS:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        fresh, strange = [], []
+        for i, u in enumerate(units):
+            if u not in cache:
+                if u in older:
+                    cache[u] = older[u]
+                else:
+                    fresh.append(u), strange.append(odd[i])
+        cache.update(self.learn(fresh, strange))
+        out = list(map(cache.__getitem__, units))
+        for u in fresh:
+            if len(u) > CACHE_BYTES:
+                del cache[u]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder of its own: the tokens are joined by spaces."""
-        return " ".join(self.signs[i] for i in ids)
-
-    def printed(self, chunks: list[list[bytes]]) -> tuple[dict[bytes, bytes], dict[bytes, bytes], list[bytes]]:
-        """For each chunk of the batch its ids as decimals and its decoded text, from the cache or learnt now; and the chunks
-        that are too long to be kept."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache, self.texts = {}, {}
-        new = {c for p in chunks for c in p if c not in self.cache} if self.cache else {c for p in chunks for c in p}
-        ids, texts = {}, {}
-        for c, v in self.learn(new).items():
-            ids[c], texts[c] = " ".join(map(str, v)).encode(), self.decode(v).encode()
-        long = [c for c in ids if len(c) > CACHE_BYTES]
-        self.cache.update(ids), self.texts.update(texts)
-        return self.cache, self.texts, long
+        return " ".join(map(self.signs.__getitem__, ids))
+
+    def units(self, texts: list[str]):
+        """For groups of pieces of texts: the number of each piece's text, the ids of the distinct units, the unit at each place and
+        where each piece starts. A text's pieces come in its order: special tokens, which stand as they are, and what lies between."""
+        pieces: list[tuple[int, bytes]] = []
+        for i, t in enumerate(texts):
+            pieces += [(i, p.encode()) for p in (self.cut.split(t) if "<|" in t else (t,))]
+        special = {s.encode(): [v] for s, v in self.special.items()}
+        for numbers, held in buffers([b"" if p in special else p for _, p in pieces]):
+            owners, whole = [pieces[k][0] for k in numbers], [special.get(pieces[k][1]) for k in numbers]
+            found = distinct(held, "word")
+            if found is None:  # a hash collision: chunk by chunk
+                chunks = [h.split() for h in held]
+                names = {c: j for j, c in enumerate({c for p in chunks for c in p})}
+                found = list(names), np.ones(len(names), bool), np.array([names[c] for p in chunks for c in p], np.int64), np.cumsum([0, *map(len, chunks)])
+            units, odd, place, bounds = found
+            yield owners, whole, self.ids(units, odd), place, bounds
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in texts]
+        for owners, whole, ids, place, bounds in self.units(texts):
+            for k, i in enumerate(owners):
+                out[i] += whole[k] or [v for j in place[bounds[k] : bounds[k + 1]].tolist() for v in ids[j]]
+        return out
+
+    def printed(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """For each text the number of its ids, the ids as decimals and the text decoded from them, joined by spaces."""
+        parts: list[tuple[list[int], list[bytes], list[bytes]]] = [([], [], []) for _ in texts]
+        for owners, whole, ids, place, bounds in self.units(texts):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            decimal, text = np.empty(len(ids), object), np.empty(len(ids), object)
+            decimal[:] = [" ".join(map(str, v)).encode() for v in ids]
+            text[:] = [self.decode(v).encode() for v in ids]
+            for k, i in enumerate(owners):
+                n, dec, dec_text = parts[i]
+                if whole[k]:
+                    n.append(1), dec.append(b"%d" % whole[k][0]), dec_text.append(self.decode(whole[k]).encode())
+                    continue
+                own = place[bounds[k] : bounds[k + 1]]
+                own = own[counts[own] > 0]
+                if len(own):
+                    n.append(int(counts[own].sum())), dec.append(b" ".join(decimal[own])), dec_text.append(b" ".join(text[own]))
+        return [(sum(n), b" ".join(dec), b" ".join(text)) for n, dec, text in parts]
 
 
 _models: dict[str, SegmentTreeBPE] = {}
@@ -220,7 +242,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         bpe = model(tokenizer)
         for b in batches:
-            ids = [bpe.encode(t) for t in b["text"].to_pylist()]
+            ids = bpe.encode(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -242,7 +264,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: every text encoded, then decoded from the ids, chunk by chunk."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: every text encoded, then decoded from the ids, unit by unit."""
     tune(docs.sparkSession)
 
     def run(batches):
@@ -250,16 +272,8 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         bpe = model(tokenizer)
         for b in batches:
-            chunks = [t.encode().split() for t in b["text"].to_pylist()]
-            ids, texts, long = bpe.printed(chunks)
-            n, ids_sha, text_sha = [], [], []
-            for p in chunks:
-                joined = b" ".join(filter(None, map(ids.__getitem__, p)))
-                n.append(joined.count(b" ") + 1 if joined else 0)
-                ids_sha.append(hashlib.sha256(joined).hexdigest())
-                text_sha.append(hashlib.sha256(b" ".join(filter(None, map(texts.__getitem__, p)))).hexdigest())
-            for c in long:
-                del ids[c], texts[c]
+            found = bpe.printed(b["text"].to_pylist())
+            n, ids_sha, text_sha = [f[0] for f in found], [hashlib.sha256(f[1]).hexdigest() for f in found], [hashlib.sha256(f[2]).hexdigest() for f in found]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -40,16 +40,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE_TOKENS,
         from .token_cache import encoder
 
         enc = encoder(tokenizer, "byte")
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, copy, piece, start, length, crc = [], [], [], [], [], []
             for d, c, ids in zip(b["doc_id"].to_pylist(), b["copy"].to_pylist(), enc.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
-                ids += end
-                n, at, k = len(ids) // 4, 0, 0
+                ids = np.append(ids, np.uint32(end_id))
+                n, at, k = len(ids), 0, 0
                 while at < n:
                     size = (n - 1) % capacity + 1 if k == 0 else capacity
                     doc.append(d), copy.append(c), piece.append(k), start.append(at), length.append(size)
-                    crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                    crc.append(zlib.crc32(ids[at : at + size]))
                     at, k = at + size, k + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],

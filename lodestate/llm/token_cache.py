@@ -1,13 +1,11 @@
-"""Text to ids by the tokenizers library, chunk by chunk through a bounded cache.
-
-A text is cut where a token boundary is certain, so that the ids of a text are the ids of its chunks one after another;
-each chunk's ids come from the library, once per worker as long as the cache holds it. This is some times as fast as
-encoding whole texts, whose words mostly repeat.
-
-* `word` vocabularies drop white space, and no token spans it: chunks are the words.
-* `byte` vocabularies keep white space: a token may begin with white space but none goes from other characters to white
-  space, so chunks are white space and the word behind it. Texts with white space outside ASCII, where this rule is not
-  sure, are encoded whole.
+"""Text to ids as the tokenizers library gives them, unit by unit through a bounded cache.
+
+Texts are cut into units (see `pretokens`) at places where a token boundary is certain, so that the ids of a text are the ids
+of its units one after another. Each distinct unit of a batch is looked up once; units that the cache doesn't hold get their
+ids from the library: those that are just one pre-token from its model alone, others through its whole chain. The ids of all
+texts of a batch are then put together by one numpy gather. This is some times as fast as encoding whole texts, whose words
+mostly repeat. Texts that hold a special token, or (in `byte` vocabularies) white space outside ASCII, where units are not sure,
+are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -15,22 +13,23 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Chunks held by one generation of the cache (two are held, each of about 80 MB); when one is full, the older goes.
-CACHE_CHUNKS = 400_000
-#: Longer chunks are not held.
+from .bpe_segment import byte_signs
+from .pretokens import buffers, distinct, odd_space
+
+#: Units held by one generation of the cache (two are held, each of about 80 MB); when one is full, the older goes.
+CACHE_UNITS = 400_000
+#: Longer units are not held.
 CACHE_BYTES = 64
-#: New chunks that the library encodes in one run.
-RUN_CHUNKS = 4_000
-#: Up to this code point NFC changes nothing, so that the length of a normalised chunk is that of its lower case.
-NFC_BELOW = "\u0250"
 
-_BYTE_CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+#: The sign of each byte, by its number: what byte-level vocabularies write for it.
+_SIGNS = dict(enumerate(byte_signs()))
+#: Units of a plain chunk that are one pre-token of a `byte` vocabulary.
+_SINGLE = re.compile(rb" ?[^\x20\x09-\x0D]+")
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 class Encoder:
-    """Little-endian uint32 ids, as bytes, of whole texts."""
+    """Ids (arrays of uint32) of whole texts."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -38,86 +37,75 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
-        self.width = self._widths()
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _widths(self):
-        """Bytes of text behind each id, -1 for a special token."""
-        import numpy as np
-
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        width = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            width[i] = -1 if token in self.specials else len(token.removesuffix("</w>") if self.kind == "word" else token)
-        return width
-
-    def _joinable(self, text: str) -> bool:
-        """Whether the bytes of the chunk's tokens are known beforehand."""
-        if "<|" in text:
-            return False
-        return self.kind == "byte" or text.isascii() and text.isprintable() or max(text) < NFC_BELOW and not _ODD_SPACE.search(text) and text.isprintable()
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks. Runs of chunks go to the library as one text, whose ids are cut where the bytes of their tokens reach
-        the end of a chunk; a run whose cuts do not fall between tokens, and chunks that cannot be joined, go one by one."""
-        import numpy as np
-
-        out: dict[bytes, bytes] = {}
-        alone, joined = [], []
-        for c in chunks:
-            (joined if self._joinable(c.decode()) and (self.kind == "word" or c[:1].isspace() and not c.isspace()) else alone).append(c)
-        for at in range(0, len(joined), RUN_CHUNKS):
-            run = joined[at : at + RUN_CHUNKS]
-            if self.kind == "byte":
-                text, size = b"".join(run).decode(), list(map(len, run))
+    def _learn(self, units: list[bytes], odd: list[bool]) -> dict[bytes, bytes]:
+        """Ids of units, as bytes; odd: of a chunk that is not plain."""
+        out, rest = {}, []
+        tokenize, byte = self.model.tokenize, self.kind == "byte"
+        for u, o in zip(units, odd, strict=True):
+            if o or byte and not _SINGLE.fullmatch(u):
+                rest.append(u)
             else:
-                text = b" ".join(run).decode()
-                size = [len(w) for w in text.lower().encode().split(b" ")]
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends, reached = np.cumsum(size), np.cumsum(self.width[ids])
-            cuts = np.searchsorted(reached, ends)
-            if len(ends) != len(run) or not len(reached) or cuts[-1] != len(ids) - 1 or (reached[cuts] != ends).any():
-                alone += run
-                continue
-            data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
-            out.update((c, data[a:b]) for c, a, b in zip(run, [0, *stops[:-1]], stops, strict=True))
-        out.update(zip(alone, self._library([c.decode() for c in alone]), strict=True))
+                out[u] = array("I", [t.id for t in tokenize(u.decode("latin-1").translate(_SIGNS))]).tobytes()
+        out.update(zip(rest, self._library([u.decode() for u in rest]), strict=True))
         return out
 
-    def chunks(self, text: str) -> list[bytes] | None:
-        """None: the text must be encoded whole."""
-        if self.kind == "word":
-            return text.encode().split()
-        if not text.isascii() and _ODD_SPACE.search(text) or text.isascii() and re.search("[\x1c-\x1f]", text):
-            return None
-        return _BYTE_CHUNK.findall(text.encode())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
+    def _ids(self, units: list[bytes], odd) -> list[bytes]:
+        """Ids of distinct units."""
+        if len(self.cache) > CACHE_UNITS:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        missing = set().union(*filter(None, parts)).difference(cache)
-        known = missing.intersection(older)
-        for c in known:
-            cache[c] = older[c]
-        fresh = self._learn(list(missing - known if known else missing))
-        cache.update(fresh)
-        out = [b"".join(map(cache.__getitem__, p)) if p is not None else None for p in parts]
-        for c in fresh:
-            if len(c) > CACHE_BYTES:
-                del cache[c]
-        whole = [i for i, v in enumerate(out) if v is None]
-        for i, v in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = v
+        fresh, strange = [], []
+        for i, u in enumerate(units):
+            if u not in cache:
+                if u in older:
+                    cache[u] = older[u]
+                else:
+                    fresh.append(u), strange.append(odd[i])
+        learnt = self._learn(fresh, strange)
+        cache.update(learnt)
+        out = list(map(cache.__getitem__, units))
+        for u in learnt:
+            if len(u) > CACHE_BYTES:
+                del cache[u]
         return out
 
+    def encode(self, texts: list[str]) -> list:
+        import numpy as np
+
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+        parts: list[list] = [[] for _ in texts]
+        for numbers, held in buffers([b"" if i in whole else t.encode() for i, t in enumerate(texts)]):
+            found = distinct(held, self.kind)
+            if found is None:
+                whole.update(numbers)
+                continue
+            units, odd, place, bounds = found
+            if self.kind == "byte" and odd.any():
+                unsure = np.array([o and odd_space(u) for u, o in zip(units, odd.tolist(), strict=True)])
+                whole.update(numbers[k] for k in set((np.searchsorted(bounds, np.flatnonzero(unsure[place]), "right") - 1).tolist()))
+            ids = self._ids(units, odd)
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            at = np.cumsum(counts) - counts
+            n = counts[place]
+            ends = np.cumsum(n)
+            reached = np.concatenate([[0], ends])
+            tokens = flat[np.repeat(at[place] - ends + n, n) + np.arange(reached[-1])]
+            for k, i in enumerate(numbers):
+                parts[i].append(tokens[reached[bounds[k]] : reached[bounds[k + 1]]])
+        for i, ids in zip(sorted(whole), self._library([texts[i] for i in sorted(whole)]), strict=True):
+            parts[i] = [np.frombuffer(ids, "<u4")]
+        return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
+
 
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for a vocabulary file: it lives as long as the Python worker."""

@@ -2,8 +2,8 @@
 
 A shard (see `write_shard`) is: magic, SHA-256 of the dictionary, bytes per id, number of documents, then the index
 (doc ids, token counts, frame offsets) and the frames. A reader finds a document by its place in the index and
-decompresses that frame alone. The dictionary is trained on the serialised ids of at most `sample_docs` documents, each
-up to `sample_ids` ids, chosen by a hash of their id over the whole table: a documented bound for the training only.
+decompresses that frame alone. The dictionary is trained on the serialised ids of at most SAMPLE_DOCS whole documents, those
+of the smallest row hash in the whole table (equal rows count once): a documented bound for the training only.
 
 Shards travel as the binary column of a Parquet table in the shared folder, so that any file system Spark reaches will do.
 Documents are encoded and compressed where they lie; only the frames shuffle, into ranges of ascending doc_id. A task
@@ -22,11 +22,10 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import bounded_sample, materialize, tune
 
 END_ID = 2
 SAMPLE_DOCS = 1000
-SAMPLE_IDS = 2048
 DICTIONARY_BYTES = 32_768
 SHARD_BYTES = 4 << 20
 LEVEL = 3
@@ -91,12 +90,14 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END
     width: bytes per stored id, 2 for vocabularies of at most 65,536 ids."""
     spark = docs.sparkSession
     tune(spark)
-    end = end_id.to_bytes(4, "little")
 
-    def narrow(ids: bytes) -> bytes:
+    def narrow(ids) -> bytes:
+        return ids.astype(f"<u{width}").tobytes()
+
+    def ended(enc, texts: list[str]) -> list:
         import numpy as np
 
-        return ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+        return [np.append(x, np.uint32(end_id)) for x in enc.encode(texts)]
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -107,12 +108,11 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END
 
         enc = encoder(tokenizer, kind)
         for b in batches:
-            ids = [narrow((x + end)[: 4 * SAMPLE_IDS]) for x in enc.encode(b["text"].to_pylist())]
+            ids = [narrow(x) for x in ended(enc, b["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    some = rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("text", F.substring("text", 1, 8 * SAMPLE_IDS)).limit(SAMPLE_DOCS)
-    dictionary = train_dictionary([bytes(r["ids"]) for r in some.mapInArrow(sample, "ids binary").collect()])
+    some = bounded_sample(rows, SAMPLE_DOCS).select("text")
+    dictionary = train_dictionary(sorted(bytes(r["ids"]) for r in some.mapInArrow(sample, "ids binary").collect()))
     mark = hashlib.sha256(dictionary).digest()
 
     def frames(batches):
@@ -124,9 +124,9 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END
         enc = encoder(tokenizer, kind)
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
         for b in batches:
-            ids = [x + end for x in enc.encode(b["text"].to_pylist())]
+            ids = ended(enc, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([writer.compress(narrow(x)) for x in ids], pa.binary())],
+                [b["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([writer.compress(narrow(x)) for x in ids], pa.binary())],
                 names=["doc_id", "n", "frame"],
             )
 
