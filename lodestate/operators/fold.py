@@ -5,11 +5,13 @@ expired; the version counts writes within the life. It is one sort by (key, seq)
 
 `ordered_fold` runs typed operations whose acceptance depends on the state before (bounded counters, leases, semaphores,
 splices) one by one per key in Arrow batches sorted by key. A key's operations are ordered by definition, so a key is the unit of
-parallelism; `bounded_add` folds inside the JVM instead.
+parallelism, and its operations stream past its state, however many they are.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,8 @@ def versions(log: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last write of each key that is a set: key, value, version, expires_us. Partial aggregation, no second sort."""
-    last = log.where(F.col("op").isin(*WRITES)).groupBy("key").agg(F.max("seq").alias("seq"))
-    return versions(log).join(last, ["key", "seq"]).select("key", "value", "version", "expires_us")
+    """The last write of each key that is a set: key, value, version, expires_us. The sort that numbers versions tells it too."""
+    return versions(log).where("until_seq is null").select("key", "value", "version", "expires_us")
 
 
 def counter(log: DataFrame) -> DataFrame:
@@ -47,45 +48,121 @@ def counter(log: DataFrame) -> DataFrame:
     return adds.select("key", "seq", F.sum("delta").over(within).alias("value"), F.row_number().over(within).cast("long").alias("version"))
 
 
-def bounded_add(log: DataFrame, capacity: int) -> DataFrame:
-    """key, value, accepted, rejected: additions that would leave [0, capacity] are rejected without effect."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda s: s["delta"])
-    start = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
+class Bounded:
+    """A counter in [0, capacity] whose holder owns the share [low, high] of that range."""
 
-    def step(acc, delta):
-        ok = (acc["value"] + delta >= 0) & (acc["value"] + delta <= capacity)
-        return F.struct(
-            F.when(ok, acc["value"] + delta).otherwise(acc["value"]).alias("value"),
-            (acc["accepted"] + ok.cast("long")).alias("accepted"),
-            (acc["rejected"] + (~ok).cast("long")).alias("rejected"),
-        )
+    LARGEST = 2**63 - 1
 
-    return log.groupBy("key").agg(F.aggregate(steps, start, step).alias("s")).select("key", "s.value", "s.accepted", "s.rejected")
+    def __init__(self):
+        self.state = None
 
+    def apply(self, op: str, amount: int, low: int | None, high: int | None) -> tuple:
+        """status, value, low, high, version (all after the operation, null where there is no counter)."""
+        status = "Ok"
+        if op == "create":
+            if self.state:
+                status = "WrongType"
+            elif amount > self.LARGEST:
+                status = "BoundedExceeded"
+            else:
+                self.state = [0, 0, amount, amount, 1]
+        elif op == "drop":
+            self.state = None
+        elif op != "get":
+            status = self._change(op, amount, low, high)
+        return (status, *((None,) * 4 if not self.state else (self.state[0], *self.state[1:3], self.state[4])))
+
+    def _change(self, op: str, amount: int, low: int | None, high: int | None) -> str:
+        if not self.state:
+            return "BoundedExceeded"
+        value, least, most, capacity, version = self.state
+        if op == "add":
+            after = value + amount
+            if not -self.LARGEST - 1 <= after <= self.LARGEST:
+                return "CounterOverflow"
+            if not max(0, least) <= after <= min(capacity, most):
+                return "BoundedExceeded"
+            self.state[0] = after
+        else:  # a share can only be narrowed, and must cover the value
+            if low < least or high > most or not 0 <= low <= value <= high <= capacity:
+                return "BoundedExceeded"
+            self.state[1:3] = low, high
+        self.state[4] = version + 1
+        return "Ok"
+
+
+class Counter:
+    """A 64-bit counter: an addition that overflows is refused without effect, a delete ends it."""
+
+    def __init__(self):
+        self.value, self.version = None, 0
+
+    def apply(self, op: str, delta: int) -> tuple:
+        """status, value and version after."""
+        if op == "delete":
+            self.value, self.version = None, 0
+            return "Ok", None, 0
+        after = (self.value or 0) + delta
+        if not -(2**63) <= after < 2**63:
+            return "CounterOverflow", self.value, self.version
+        self.value, self.version = after, self.version + 1
+        return "Ok", self.value, self.version
 
-class Lease:
-    """A fenced lease: a live holder blocks everyone; each grant raises the fencing number."""
+
+class Conditional:
+    """Bytes with conditional sets: `condition` Always, IfAbsent or IfPresent, `expiry` Clear, Keep or At."""
 
     def __init__(self):
-        self.holder, self.fencing = None, 0
+        self.value, self.version, self.expires = None, 0, None
+
+    def apply(self, op: str, now: int, value: str | None, condition: str | None, expiry: str | None, at: int | None) -> tuple:
+        """applied, and after the operation version, value, expires_us."""
+        if self.value is not None and self.expires is not None and now >= self.expires:
+            self.value, self.version, self.expires = None, 0, None
+        live = self.value is not None
+        applied = live if op == "delete" else condition == "Always" or (condition == "IfPresent") == live
+        if op == "delete":
+            self.value, self.version, self.expires = None, 0, None
+        elif applied:
+            self.expires = at if expiry == "At" else self.expires if expiry == "Keep" else None
+            self.value, self.version = value, self.version + 1
+        return applied, self.version, self.value, self.expires
+
+
+class Lease:
+    """A fenced lease: a live holder blocks everyone, itself too; each grant has the next token. Renewals need the live grant's
+    owner and token, releases those of the last grant, live or lapsed. A ttl of 0 never lapses; others end after 100 years."""
+
+    LONGEST = 100 * 365 * 86_400 * 1_000_000
 
-    def apply(self, op: str, now: int, owner: int, ttl: int) -> tuple[str, int]:
-        live = self.holder is not None and (self.holder[2] is None or now < self.holder[2])
-        until = None if ttl == 0 else now + ttl
+    def __init__(self):
+        self.holder, self.next = None, 1
+
+    def apply(self, op: str, now: int, owner: int, ttl: int, token: int | None, behind: int | None) -> tuple:
+        """status, released (of a release), token and expires_us of the holder after, next token. Without a token the caller has
+        that of `behind` grants before the last one."""
+        status, released = "Ok", None
+        token = self.next - 1 - behind if token is None and behind is not None else token
+        holder = self.holder
+        live = holder is not None and (holder[2] is None or now < holder[2])
+        until = None if ttl == 0 else now + min(ttl or 0, self.LONGEST)
         if op == "lease_acquire":
             if live:
-                return "LeaseConflict", self.fencing
-            self.fencing += 1
-            self.holder = (owner, self.fencing, until)
+                status = "LeaseConflict"
+            else:
+                self.holder, self.next = (owner, self.next, until), self.next + 1
         elif op == "lease_renew":
-            if not live or self.holder[0] != owner:
-                return "StaleFencing", self.fencing
-            self.holder = (owner, self.holder[1], until)
-        elif self.holder is None or self.holder[0] != owner:
-            return "StaleFencing", self.fencing
+            if live and holder[:2] == (owner, token):
+                self.holder = (owner, token, until)
+            else:
+                status = "StaleFencing"
+        elif holder is None:
+            released = False
+        elif holder[:2] == (owner, token):
+            self.holder, released = None, True
         else:
-            self.holder = None
-        return "Ok", self.fencing
+            status = "StaleFencing"
+        return status, released, *((None, None) if self.holder is None else self.holder[1:]), self.next
 
 
 class Typed:
@@ -238,8 +315,33 @@ def semaphores(log: DataFrame) -> DataFrame:
 
 
 def leases(log: DataFrame) -> DataFrame:
-    """key, seq, status, fencing of every lease operation."""
-    return ordered_fold(log, Lease, ["op", "now_us", "owner", "ttl_us"], "status string, fencing long")
+    """The outcome of every lease operation."""
+    return ordered_fold(log, Lease, ["op", "now_us", "owner", "ttl_us", "token", "behind"], "status string, released boolean, token long, expires_us long, next_token long")
+
+
+def bounded(log: DataFrame) -> DataFrame:
+    """The outcome of every operation on bounded counters."""
+    return ordered_fold(log, Bounded, ["op", "amount", "low", "high"], "status string, value long, low long, high long, version long")
+
+
+def bounded_add(log: DataFrame, capacity: int) -> DataFrame:
+    """key, value, accepted, rejected: of additions (key, seq, delta) those that would leave [0, capacity] are rejected."""
+    adds = log.select("key", "seq", F.lit("add").alias("op"), F.col("delta").alias("amount"))
+    creates = log.groupBy("key").agg((F.min("seq") - 1).alias("seq"), F.lit("create").alias("op"), F.lit(capacity).cast("long").alias("amount"))
+    share = F.lit(None).cast("long")
+    done = bounded(adds.unionByName(creates).withColumns({"low": share, "high": share}))
+    accepted, every = F.count_if(F.col("status") == "Ok") - 1, F.count(F.lit(1)) - 1  # less the create
+    return done.groupBy("key").agg(F.max_by("value", "seq").alias("value"), accepted.alias("accepted"), (every - accepted).alias("rejected"))
+
+
+def counters(log: DataFrame) -> DataFrame:
+    """The outcome of every addition and delete of 64-bit counters, overflow checked."""
+    return ordered_fold(log, Counter, ["op", "delta"], "status string, value long, version long")
+
+
+def conditional(log: DataFrame) -> DataFrame:
+    """The outcome of every conditional set and delete."""
+    return ordered_fold(log, Conditional, ["op", "now_us", "value", "condition", "expiry", "at_us"], "applied boolean, version long, value string, expires_us long")
 
 
 def streams(log: DataFrame) -> DataFrame:
@@ -252,6 +354,66 @@ def sessions(log: DataFrame) -> DataFrame:
     return ordered_fold(log.withColumn("at", F.col("seq")), Session, ["request", "ack", "at"], "status string, answered long, floor long")
 
 
+class Sketch:
+    """Space-saving heavy hitters: `capacity` keys are held; a new one takes the place and count of the least frequent (of equal ones
+    the smallest key) and starts its evidence anew. An estimate exceeds the truth by total // capacity at most."""
+
+    def __init__(self, capacity: int = 16):
+        self.capacity, self.entries, self.total = capacity, {}, 0
+
+    def apply(self, item: int, critical: bool, tail: bool, stall: int) -> None:
+        self.total += 1
+        entry = self.entries.get(item)
+        if entry is None:
+            count = 0
+            if len(self.entries) >= self.capacity:
+                gone = min(self.entries, key=lambda k: (self.entries[k][0], k))
+                count = self.entries.pop(gone)[0]
+            entry = self.entries[item] = [count, 0, 0, 0]
+        for place, more in enumerate((1, critical, tail, stall)):
+            entry[place] += more
+
+    def rows(self) -> list[tuple]:
+        """rank, item, estimate, error bound, critical and tail hits, stall: the highest estimates first."""
+        order = sorted(self.entries.items(), key=lambda e: (-e[1][0], e[0]))
+        return [(n + 1, item, e[0], self.total // self.capacity, *e[1:]) for n, (item, e) in enumerate(order)]
+
+
+def final_fold(log: DataFrame, machine, columns: list[str], results: str) -> DataFrame:
+    """key and the results of `machine().rows()` after all of a key's operations, applied in order of seq. Keys stream through a task,
+    so only the state of one is held."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, state, out = None, None, []
+        names = [r.split()[0] for r in results.split(", ")]
+
+        def batch_of(rows):
+            held = list(zip(*rows, strict=True)) or [()] * (1 + len(names))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names=["key", *names])
+
+        for batch in batches:
+            for k, *arguments in zip(*(batch[c].to_pylist() for c in ("key", *columns)), strict=True):
+                if state is None or k != key:
+                    out += [(key, *r) for r in state.rows()] if state else []
+                    key, state = k, machine()
+                state.apply(*arguments)
+            yield batch_of(out)
+            out = []
+        yield batch_of([(key, *r) for r in state.rows()] if state else [])
+
+    rows = log.select("key", "seq", *columns).repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInArrow(run, f"key long, {results}")
+
+
+def sketch(samples: DataFrame, capacity: int) -> DataFrame:
+    """What a bounded sketch of each scope retains of its samples (scope, sequence, item, critical, tail, stall)."""
+    log = samples.withColumnsRenamed({"scope": "key", "sequence": "seq"})
+    held = final_fold(log, functools.partial(Sketch, capacity), ["item", "critical", "tail", "stall"], "rank long, item long, estimate long, error_bound long, critical long, tail long, stall long")
+    return held.withColumnRenamed("key", "scope")
+
+
 def exactly_once(log: DataFrame, session: str, request: str, order: str) -> DataFrame:
     """The first row of each (session, request): later ones replay its outcome. Pre-aggregated before the shuffle."""
     rest = [c for c in log.columns if c not in (session, request)]

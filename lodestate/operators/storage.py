@@ -26,6 +26,24 @@ def manifests(cut: DataFrame) -> DataFrame:
     return cut.groupBy("key").agg(F.sum(F.octet_length("chunk").cast("long")).alias("logical_len"), F.sha2(F.array_join(F.transform(digests, lambda x: x["d"]), "").cast("binary"), 256).alias("manifest"))
 
 
+def through_chunks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (key, seq, value and more) with each value replaced by what its manifest reassembles: distinct chunks are stored once under
+    their digests, a manifest lists a value's chunks in order. A value without chunks is empty."""
+    named = rows.withColumn("of", F.struct("key", "seq"))
+    cut = chunks(named.select(F.col("of").alias("key"), "value"), size).withColumn("digest", F.sha2("chunk", 256))
+    stored = cut.groupBy("digest").agg(F.first("chunk").alias("bytes"))
+    found = cut.select("key", "ordinal", "digest").join(stored, "digest")
+    whole = reassemble(found.select(F.col("key").alias("of"), "ordinal", F.col("bytes").alias("chunk")), "of")
+    return named.drop("value").join(whole.select("of", "value"), "of", "left").withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit("")))
+
+
+def reassemble(cut: DataFrame, key: str = "key") -> DataFrame:
+    """Each key's value (binary) out of its chunks in order, and its digest. A value is one row, so its chunks meet in one task."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.hex("chunk").alias("hex")))), lambda c: c["hex"])
+    whole = cut.groupBy(key).agg(F.unhex(F.array_join(parts, "")).alias("value"))
+    return whole.withColumn("digest", F.sha2("value", 256))
+
+
 def garbage(packs: DataFrame, reachable: DataFrame) -> DataFrame:
     """Packs none of whose chunks is reachable."""
     live = packs.join(reachable.select("digest").distinct(), "digest", "left_semi").select("pack").distinct()

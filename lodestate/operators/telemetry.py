@@ -39,11 +39,13 @@ def hot_keys(samples: DataFrame, top: int = 10) -> DataFrame:
 
 
 def concentration(samples: DataFrame) -> DataFrame:
-    """Top-1 and top-10 hits and the sum of squared hits of each scope, with the Herfindahl index as one division."""
+    """Top-1 and top-10 hits and the sum of squared hits of each scope, with the Herfindahl index as one division. Only the first ten
+    keys of a scope are ranked; the sums are partial ones."""
     counts = samples.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("hits"))
-    counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("hits"), "item")))
-    sums = counts.groupBy("scope").agg(F.max("hits").alias("top1"), F.sum(F.when(F.col("rank") <= 10, F.col("hits")).otherwise(0)).alias("top10"), F.sum("hits").alias("total"), F.sum(F.col("hits") * F.col("hits")).alias("squares"))
-    return sums.withColumn("herfindahl", F.col("squares") / (F.col("total") * F.col("total")))
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("hits"), "item"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= 10).groupBy("scope").agg(F.sum("hits").alias("top10"))
+    sums = counts.groupBy("scope").agg(F.max("hits").alias("top1"), F.sum("hits").alias("total"), F.sum(F.col("hits") * F.col("hits")).alias("squares"))
+    return sums.join(top, "scope").select("scope", "top1", "top10", "total", "squares", (F.col("squares") / (F.col("total") * F.col("total"))).alias("herfindahl"))
 
 
 def criticality(serial: Column, latency: Column, stall: Column, critical_ppm: Column, tail_ppm: Column, size: Column) -> Column:
@@ -72,16 +74,6 @@ def latest(samples: DataFrame) -> DataFrame:
     return samples.groupBy("scope", "window").agg(F.max_by(F.struct("sequence", "item", "stall"), "sequence").alias("s")).select("scope", "window", "s.*")
 
 
-def pressure(samples: DataFrame) -> DataFrame:
-    """Peak and mean depth, service ratio (null without service time) and rejections by scope and window."""
-    return samples.groupBy("scope", "window").agg(
-        F.max("stall").alias("max_depth"),
-        (F.sum("stall") / F.count(F.lit(1))).alias("mean_depth"),
-        F.try_divide(F.sum("stall"), F.sum("latency_ns")).alias("service_ratio"),
-        F.count_if("tail").alias("rejections"),
-    )
-
-
 def savings(sizes: DataFrame) -> DataFrame:
     """Compression ratio and savings (negative where data grew) by group."""
     by = sizes.groupBy("group").agg(F.sum("raw").alias("raw"), F.sum("packed").alias("packed"))

@@ -56,7 +56,6 @@ ORACLE_SQL = {
         CASE WHEN r.kind = 'view' AND w.kind <> 'error' AND (w.expires_us IS NULL OR r.now_us < w.expires_us) THEN w.value END AS value
         FROM ev r ASOF LEFT JOIN wr w ON r.key = w.key AND r.seq > w.seq WHERE r.kind IN ('view', 'click')"""),
     "bytes_get_range": _with(ENTRIES, "SELECT key, substring(value, 2, 3) AS head, right(value, 3) AS tail, '' AS past FROM en"),
-    "set_if_absent": _with(WRITES, "SELECT key, life, arg_min(value, seq) AS value, count(*) AS attempts FROM vs GROUP BY key, life"),
     "counter_values": _with(EVENTS + """, cl AS (SELECT key, seq, kind, CASE kind WHEN 'click' THEN k WHEN 'purchase' THEN -k END AS delta,
         sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS life FROM ev WHERE kind IN ('click', 'purchase', 'error'))""",
         "SELECT key, seq, CAST(sum(delta) OVER w AS BIGINT) AS value, row_number() OVER w AS version FROM cl WHERE kind <> 'error' WINDOW w AS (PARTITION BY key, life ORDER BY seq)"),
@@ -92,7 +91,6 @@ ORACLE_SQL = {
         rd AS (SELECT now_us, seq AS id, k * 60000000 AS age FROM ev WHERE seq % 100 <> 0 AND seq % 4 = 0)""",
         "SELECT id, CASE WHEN now_us - p <= age THEN 'Ok' ELSE 'Escalate' END AS status, CASE WHEN now_us - p <= age THEN position END AS position FROM rd ASOF LEFT JOIN rc ON now_us >= p"),
     "read_freshness": _with(INDEX, "SELECT CASE WHEN ix.version = en.version THEN 'Current' WHEN ix.version < en.version THEN 'Stale' ELSE 'Future' END AS freshness, count(*) AS entries FROM ix JOIN en ON prim = key GROUP BY 1"),
-    "telemetry_rates": _with(TELEMETRY, "SELECT scope, \"window\", CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(writes) AS BIGINT) AS writes, sum(reads) / nullif(sum(reads) + sum(writes), 0) AS read_ratio FROM te GROUP BY scope, \"window\""),
     "telemetry_monotone": _with(TELEMETRY + ", tm AS (SELECT scope, sequence AS a, CASE WHEN sequence % 13 = 0 THEN sequence - 40 ELSE sequence END AS s FROM te), tn AS (SELECT *, max(s) OVER (PARTITION BY scope ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM tm)",
         "SELECT scope, count(*) AS accepted FROM tn WHERE b IS NULL OR s > b GROUP BY scope"),
     "telemetry_latency": _with(TELEMETRY + ", rc AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY scope ORDER BY sequence DESC) <= 256)",
@@ -192,8 +190,6 @@ ORACLE_SQL |= {
     "read_at_least": _with(EVENTS + ", al AS (SELECT key % 8 AS lane, max(seq) - 40 AS applied FROM ev WHERE seq % 3 <> 0 GROUP BY ALL)", """SELECT seq AS id,
         CASE WHEN lane IS NULL THEN 'Unavailable' WHEN seq % 9 = 0 THEN 'StaleToken' WHEN applied >= seq THEN 'Ok' ELSE 'Unavailable' END AS status FROM ev LEFT JOIN al ON lane = key % 10 WHERE kind = 'view'"""),
     "telemetry_latest": _with(TELEMETRY, "SELECT scope, \"window\", sequence, item, stall FROM te QUALIFY row_number() OVER (PARTITION BY scope, \"window\" ORDER BY sequence DESC) = 1"),
-    "telemetry_pressure": _with(TELEMETRY, """SELECT scope, "window", max(stall) AS max_depth, CAST(sum(stall) AS DOUBLE) / count(*) AS mean_depth,
-        CAST(sum(stall) AS DOUBLE) / nullif(CAST(sum(latency_ns) AS DOUBLE), 0) AS service_ratio, count(*) FILTER (tail) AS rejections FROM te GROUP BY ALL"""),
     "telemetry_savings": """SELECT "group", CAST(p AS DOUBLE) / r AS ratio, CAST(r - p AS DOUBLE) / r AS savings FROM (
         SELECT l_suppkey AS "group", sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS r, sum(CAST(round(l_extendedprice * 100) AS BIGINT) + l_linenumber * 1000 - l_partkey) AS p FROM lineitem GROUP BY ALL)""",
     "storage_adopt_compression": "SELECT o_orderkey AS key, 100 * (r * (o_custkey % 30) // 100) >= 15 * r AS adopted FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS r FROM orders)",

@@ -20,7 +20,7 @@ def query(f):
 def state_at_end(spark: SparkSession, d: str) -> DataFrame:
     """The last set of each key, with the time of the log's last operation as the reading time."""
     log = S.bytes_log(spark, d)
-    return fold.latest(log).withColumn("at_us", F.lit(log.agg(F.max("now_us")).first()[0]).cast("long"))
+    return fold.latest(log).join(F.broadcast(log.agg(F.max("now_us").alias("at_us"))))  # one row for all
 
 
 @query
@@ -64,12 +64,6 @@ def bytes_get_range(spark: SparkSession, d: str) -> DataFrame:
     return v.select("key", D.get_range(F.col("value"), 1, 3).alias("head"), D.get_range(F.col("value"), -3, -1).alias("tail"), D.get_range(F.col("value"), 50, 60).alias("past"))
 
 
-@query
-def set_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    v = fold.versions(S.bytes_log(spark, d))
-    return v.groupBy("key", "life").agg(F.min_by("value", "seq").alias("value"), F.count(F.lit(1)).alias("attempts"))
-
-
 @query
 def counter_values(spark: SparkSession, d: str) -> DataFrame:
     return fold.counter(S.counter_log(spark, d))
@@ -85,11 +79,6 @@ def counter_bounded(spark: SparkSession, d: str) -> DataFrame:
     return fold.bounded_add(S.bounded_log(spark, d), 500)
 
 
-@query
-def lease_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return fold.leases(S.lease_log(spark, d))
-
-
 @query
 def expiry_edits(spark: SparkSession, d: str) -> DataFrame:
     return fold.typed(S.expiry_log(spark, d)).drop("read_hex")
@@ -293,11 +282,6 @@ def read_freshness(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(D.freshness(F.col("entry_version"), F.col("version")).alias("freshness")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query
-def telemetry_rates(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.rates(S.telemetry(spark, d))
-
-
 @query
 def telemetry_monotone(spark: SparkSession, d: str) -> DataFrame:
     t = S.telemetry(spark, d).withColumn("arrival", F.col("sequence")).withColumn("sequence", F.when(F.col("sequence") % 13 == 0, F.col("sequence") - 40).otherwise(F.col("sequence")))
@@ -442,11 +426,6 @@ def telemetry_latest(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.latest(S.telemetry(spark, d))
 
 
-@query
-def telemetry_pressure(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.pressure(S.telemetry(spark, d))
-
-
 @query
 def telemetry_savings(spark: SparkSession, d: str) -> DataFrame:
     line = S.table(spark, d, "lineitem")

@@ -1,8 +1,9 @@
 """Registered queries and their SQL oracles."""
 
-from lodestate.plans.oracles import ORACLE_SQL
-from lodestate.plans.queries import QUERIES
+from lodestate.plans import observed, oracles, queries, typed
 
 FLAGSHIP = "state_versions"
+QUERIES = queries.QUERIES | typed.QUERIES | observed.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | typed.ORACLE_SQL | observed.ORACLE_SQL
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -45,10 +45,45 @@ def bounded_log(spark: SparkSession, sf_dir: str, groups: int = 10) -> DataFrame
 
 
 def lease_log(spark: SparkSession, sf_dir: str, resources: int = 15) -> DataFrame:
-    """Sign-ups acquire for k minutes, views renew with the last token, errors release with it."""
+    """Three owners of each resource: sign-ups acquire for k minutes (0: for ever), views renew, errors release. Both give the last
+    grant's token, every fifth event that of the grant before."""
     e = events(spark, sf_dir).where(F.col("kind").isin("signup", "view", "error"))
     op = F.when(F.col("kind") == "signup", "lease_acquire").when(F.col("kind") == "view", "lease_renew").otherwise("lease_release")
-    return e.select((F.col("key") % resources).alias("key"), "seq", "now_us", op.alias("op"), F.col("key").alias("owner"), (F.col("k") * MINUTE_US).alias("ttl_us"))
+    behind = F.when(F.col("kind") != "signup", F.when(F.col("seq") % 5 == 0, 1).otherwise(0)).cast("long")
+    owner = F.expr(f"key div {resources} % 3")
+    return e.select((F.col("key") % resources).alias("key"), "seq", "now_us", op.alias("op"), owner.alias("owner"), (F.col("k") * MINUTE_US).alias("ttl_us"), F.lit(None).cast("long").alias("token"), behind.alias("behind"))
+
+
+def share_log(spark: SparkSession, sf_dir: str, groups: int = 10, capacity: int = 500) -> DataFrame:
+    """Bounded counters by group of users: the first row creates, clicks add k, purchases subtract k, views ask, sign-ups narrow the
+    share by k mod 8 on the side of their id's parity, errors create again and, every 20th, drop the counter first."""
+    e = events(spark, sf_dir).withColumns({"user": F.col("key"), "key": F.col("key") % groups})
+    first = e.groupBy("key").agg((F.min("seq") * 3 - 1).alias("seq"), F.lit("create").alias("op"), F.lit(capacity).cast("long").alias("amount"))
+    op = F.when(F.col("kind").isin("click", "purchase"), "add").when(F.col("kind") == "view", "get").when(F.col("kind") == "signup", "share").otherwise("create")
+    amount = F.when(F.col("kind") == "click", F.col("k")).when(F.col("kind") == "purchase", -F.col("k")).when(F.col("kind") == "error", capacity)
+    side = F.col("seq") % 2 == 0
+    low = F.when(F.col("kind") == "signup", F.when(side, F.col("k") % 8).otherwise(0)).cast("long")
+    high = F.when(F.col("kind") == "signup", F.when(side, capacity).otherwise(capacity - F.col("k") % 8)).cast("long")
+    rows = e.select("key", (F.col("seq") * 3 + 1).alias("seq"), op.alias("op"), amount.cast("long").alias("amount"), low.alias("low"), high.alias("high"))
+    drops = e.where("kind = 'error' and seq % 20 = 0").select("key", (F.col("seq") * 3).alias("seq"), F.lit("drop").alias("op"))
+    return rows.unionByName(first, allowMissingColumns=True).unionByName(drops, allowMissingColumns=True)
+
+
+def overflow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter log in steps of 2^59: counters overflow."""
+    return counter_log(spark, sf_dir).withColumn("delta", F.expr("case when op = 'add' then sign(delta) * least(abs(delta), 7) else 0 end").cast("long") * (1 << 59))
+
+
+def conditional_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups set where absent, to expire in k hours; purchases set where present and keep the expiry; clicks set always, and keep
+    it where k is odd, else clear it; views set where absent without one; errors delete."""
+    e = events(spark, sf_dir)
+    kind, odd = F.col("kind"), F.col("k") % 2 == 1
+    condition = F.when(kind.isin("signup", "view"), "IfAbsent").when(kind == "purchase", "IfPresent").when(kind == "click", "Always")
+    expiry = F.when(kind == "signup", "At").when((kind == "purchase") | (kind == "click") & odd, "Keep").when(kind.isin("view", "click"), "Clear")
+    at = F.when(kind == "signup", F.col("now_us") + F.col("k") * HOUR_US)
+    op = F.when(kind == "error", "delete").otherwise("set")
+    return e.select("key", "seq", "now_us", op.alias("op"), F.col("cents").cast("string").alias("value"), condition.alias("condition"), expiry.alias("expiry"), at.alias("at_us"))
 
 
 def expiry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,3 +178,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("cents") > 10_000).alias("tail"),
         (F.col("k") * 1000).alias("stall"),
     )
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample of every signal family for each order, by scope of its customer; sequence is the order's key."""
+    o = table(spark, sf_dir, "orders").withColumn("c", F.round(F.col("o_totalprice") * 100).cast("long"))
+    return o.selectExpr(
+        "o_custkey as customer", "o_custkey % 8 as scope", "o_orderkey as sequence", "o_orderkey % 97 as depth", "c % 1000 as wait_p50", "c % 1000 + o_custkey % 500 as wait_p99", "c % 1000 + o_custkey % 500 + 7 as wait_p999",
+        "o_orderkey % 3 as rejections", "c % 10000 as cpu_ns", "c % 30000 + 1 as service_ns", "c % 1000000 as resident_bytes", "c % 2000000 as logical_bytes", "o_orderkey % 101 as pressure_pct", "o_orderkey % 5 as attempts",
+        "o_orderkey % 2 as failures", "c as moved_bytes", "1L as moves", "c % 1000000 as received", "c % 2000000 as transmitted", "c % 70000 as storage_read", "c % 90000 as storage_written", "c % 10000 as storage_synced",
+        "c % 70000 as commit_lag", "c % 90000 as replica_lag", "c % 70000 as checkpoint_bytes", "o_orderkey % 97 as checkpoint_age", "o_orderkey % 5 as repair_assets", "c % 90000 as repair_bytes", "o_orderkey % 101 as repair_age",
+        "c % 1000 as scrub_bytes", "c % 1000 + o_custkey % 500 as scrub_age", "c % 2000000 + c % 30000 + 1 as physical_bytes", "c % 1000000 as stored_bytes", "o_orderkey % 3 as fragments", "o_orderkey % 2 as degraded_assets",
+        "o_orderkey % 97 + c % 1000 as busiest_worker", "o_orderkey % 97 as mean_worker", "c % 1000 + o_custkey % 500 as busiest_tablet", "c % 1000 as mean_tablet",
+    )

@@ -39,6 +39,6 @@ def test_leases_fence(spark):
     got = registry.QUERIES["lease_outcomes"](spark, SF).orderBy("key", "seq").collect()
     last = {}
     for r in got:
-        assert r["fencing"] >= last.get(r["key"], 0)
-        last[r["key"]] = r["fencing"]
+        assert r["next_token"] >= last.get(r["key"], 1)
+        last[r["key"]] = r["next_token"]
     assert {r["status"] for r in got} <= {"Ok", "LeaseConflict", "StaleFencing"}
