@@ -58,3 +58,48 @@ def stream_shard(partition: Column, shards: int) -> Column:
 
     h = F.aggregate(octets, start, step)
     return F.coalesce((h["hi"] % shards * ((1 << 32) % shards) + h["lo"]) % shards, F.lit(0)).cast("long")
+
+
+def bits_of_hex(digits: Column) -> Column:
+    """Hex digits as bits, four for each."""
+    places = F.sequence(F.lit(1), F.length(digits))
+    return F.array_join(F.transform(places, lambda i: F.lpad(F.conv(F.substring(digits, i, F.lit(1)), 16, 2), 4, "0")), "")
+
+
+#: Fixed value: the first bytes of every index key, in hex.
+INDEX_TAG = "4B4956492D49445831"
+
+
+def _pairs(digits: Column) -> Column:
+    return F.regexp_replace(digits, "(..)", "$1 ")
+
+
+def escaped_hex(text: Column) -> Column:
+    """The UTF-8 bytes of text in hex, each 00 as 00FF, and the end mark 00."""
+    return F.concat(F.replace(F.replace(_pairs(F.hex(F.encode(text, "UTF-8"))), F.lit("00 "), F.lit("00 FF ")), F.lit(" "), F.lit("")), F.lit("00"))
+
+
+def term_prefix(index: Column, term: Column) -> Column:
+    """What all index keys of a term begin with, in hex: tag, index in eight bytes, 00, the escaped term. It is a unique entry's key."""
+    return F.concat(F.lit(INDEX_TAG), F.lpad(F.hex(index.cast("long")), 16, "0"), F.lit("00"), escaped_hex(term))
+
+
+def index_key(index: Column, term: Column, primary: Column) -> Column:
+    """A non-unique entry's key in hex; keys sort by index, term, primary."""
+    return F.concat(term_prefix(index, term), escaped_hex(primary))
+
+
+def prefix_successor(digits: Column) -> Column:
+    """The first key, in hex, behind all that begin with the prefix: its last byte below FF raised by one and what follows cut; null
+    where there is none."""
+    head = F.trim(F.regexp_replace(_pairs(digits), "(FF )+$", ""))
+    last = F.lpad(F.hex(F.conv(F.substring(head, -2, 2), 16, 10).cast("long") + 1), 2, "0")
+    return F.when(head != "", F.concat(F.replace(F.substring(head, F.lit(1), F.length(head) - 2), F.lit(" "), F.lit("")), last))
+
+
+def window_kind(start: Column, end: Column) -> Column:
+    """What scan bounds (hex) ask an index for: TermWindow (all of one term), TermRange (terms from one to another), else Scan."""
+    prefix = f"^{INDEX_TAG}[0-9A-F]{{16}}00(?:(?!00)..|00FF)*00$"
+    bare = start.rlike(prefix)
+    both = bare & end.rlike(prefix) & (F.substring(start, 1, 34) == F.substring(end, 1, 34)) & (start < end)
+    return F.when(bare & (prefix_successor(start) == end), "TermWindow").when(both, "TermRange").otherwise("Scan")

@@ -10,16 +10,20 @@ from lodestate.operators.fold import ordered_fold
 SPLIT_OBJECTS, MERGE_OBJECTS = 200_000, 20_000
 
 
-def health(replicas: DataFrame) -> DataFrame:
-    """Healthy when all replicas are up, Degraded with a majority, else Unavailable."""
-    c = replicas.groupBy("tablet").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("up"))
-    return c.select("tablet", F.when(F.col("up") == F.col("n"), "Healthy").when(2 * F.col("up") > F.col("n"), "Degraded").otherwise("Unavailable").alias("health"))
-
-
-def budget(moves: DataFrame, limit: int) -> DataFrame:
-    """Moves of each lane by priority while their sizes fit the lane's budget."""
-    w = Window.partitionBy("lane").orderBy(F.desc("priority"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.withColumn("charged", F.sum("bytes").over(w)).select("lane", "id", "charged", (F.col("charged") <= limit).alias("admitted"))
+def health(tablets: DataFrame, factor: int) -> DataFrame:
+    """tablets: tablet, desired (voters), usable (those that serve), live_plan. A live plan goes before what it mends."""
+    short = (F.col("usable") < F.least(F.lit(factor), F.greatest("desired", F.lit(1)))) | (F.col("usable") < F.col("desired"))
+    state = F.when(F.col("live_plan"), "Converging").when(F.col("usable") == 0, "Unavailable").when(short, "UnderReplicated").when(F.col("usable") > factor, "OverReplicated").otherwise("Healthy")
+    return tablets.select("tablet", state.alias("health"))
+
+
+def triggers(tablets: DataFrame, split_objects: int, split_bytes: int, merge_objects: int, merge_right: int | None = None) -> DataFrame:
+    """What to do with each tablet (tablet, ordered, objects, bytes): ordered ones split by their bytes, hash ones by their objects;
+    two neighbours that both hold few objects merge. The neighbour is found by a join on the number before it, not by one sort of all."""
+    right = tablets.select((F.col("tablet") - 1).alias("tablet"), F.col("objects").alias("next_objects"))
+    full = F.when(F.col("ordered"), F.col("bytes") >= split_bytes).otherwise(F.col("objects") >= split_objects)
+    small = (F.col("objects") <= merge_objects) & (F.col("next_objects") <= (merge_objects if merge_right is None else merge_right))
+    return tablets.join(right, "tablet", "left").select("tablet", F.when(full, "Split").when(small, "Merge").otherwise("Keep").alias("action"))
 
 
 def split_or_merge(tablets: DataFrame, split_at: int = SPLIT_OBJECTS, merge_at: int = MERGE_OBJECTS) -> DataFrame:

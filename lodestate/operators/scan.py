@@ -56,10 +56,3 @@ def route(state: DataFrame, tablets: DataFrame) -> DataFrame:
     """Each key with the tablet whose [start, end) holds it; tablets are a small table (one row per partition of the keyspace)."""
     inside = (F.col("key") >= F.col("start_key")) & (F.col("end_key").isNull() | (F.col("key") < F.col("end_key")))
     return state.join(F.broadcast(tablets), inside)
-
-
-def overlaps(tablets: DataFrame) -> DataFrame:
-    """Pairs of tablets that overlap: empty for a valid directory. Sorted neighbours suffice."""
-    w = Window.orderBy("start_key", "tablet")
-    reach = F.max(F.coalesce("end_key", F.lit("￿"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return tablets.withColumn("reach", reach).where("reach > start_key").select("tablet")

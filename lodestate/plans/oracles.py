@@ -75,7 +75,6 @@ ORACLE_SQL = {
         first_value(length(key) + length(value)) OVER (ORDER BY key) AS head, row_number() OVER (ORDER BY key) AS n FROM en)""", "SELECT min(key) AS split_key FROM rk WHERE n > 1 AND 2 * (run - head) >= total"),
     "store_stats": _with(ENTRIES, "SELECT count(*) AS object_count, CAST(sum(length(key)) AS BIGINT) AS key_bytes, CAST(sum(length(value)) AS BIGINT) AS value_bytes FROM en"),
     "route_keys": _with(ENTRIES + ", " + TABLETS, "SELECT tablet, count(*) AS keys, min(key) AS first_key, max(key) AS last_key FROM en JOIN tb ON key >= start_key AND (end_key IS NULL OR key < end_key) GROUP BY tablet"),
-    "directory_overlaps": "SELECT * FROM (VALUES (2), (9)) AS t(tablet)",
     "index_equal": _with(INDEX, "SELECT prim AS \"primary\", value FROM ix JOIN en ON prim = key AND ix.version = en.version WHERE term = 'F' ORDER BY prim LIMIT 500"),
     "index_term_range": _with(INDEX + ", hits AS (SELECT * FROM ix WHERE term >= 'F' AND term < 'P' ORDER BY term, prim LIMIT 700)", "SELECT term, prim AS \"primary\" FROM hits JOIN en ON prim = key AND hits.version = en.version"),
     "index_unique_claims": "SELECT o_custkey AS term, min(o_orderkey) AS owner, count(DISTINCT o_orderkey) - 1 AS refused FROM orders GROUP BY o_custkey",
@@ -108,9 +107,6 @@ ORACLE_SQL = {
     "control_sustained": _with(TELEMETRY + """, fl AS (SELECT scope, "window" AS w, sum(writes) > 3 * sum(reads) AS f FROM te GROUP BY 1, 2),
         isl AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY scope ORDER BY w) AS i FROM fl), rn AS (SELECT *, CAST(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY scope, i ORDER BY w) AS BIGINT) AS run FROM isl)""",
         "SELECT scope, w AS \"window\", run, run >= 3 AS sustained FROM rn"),
-    "control_health": "SELECT l_orderkey AS tablet, CASE WHEN count(*) FILTER (l_returnflag <> 'R') = count(*) THEN 'Healthy' WHEN 2 * count(*) FILTER (l_returnflag <> 'R') > count(*) THEN 'Degraded' ELSE 'Unavailable' END AS health FROM lineitem GROUP BY l_orderkey",
-    "control_budget": """SELECT o_custkey % 20 AS lane, o_orderkey AS id, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) OVER w AS BIGINT) AS charged, sum(CAST(round(o_totalprice) AS BIGINT)) OVER w <= 5000000 AS admitted
-        FROM orders WINDOW w AS (PARTITION BY o_custkey % 20 ORDER BY substring(o_orderpriority, 1, 1) DESC, o_orderkey ROWS UNBOUNDED PRECEDING)""",
     "control_split_or_merge": _with(ENTRIES + ", " + TABLETS + ", tc AS (SELECT tablet, start_key, count(*) AS n FROM en JOIN tb ON key >= start_key AND (end_key IS NULL OR key < end_key) GROUP BY 1, 2)",
         "SELECT tablet, CASE WHEN n >= 3500 THEN 'Split' WHEN n <= 3000 AND lead(n) OVER (ORDER BY start_key) <= 3000 THEN 'Merge' ELSE 'Keep' END AS action FROM tc"),
     "storage_chunks": _with(CHUNKS, "SELECT sha256(unhex(hx)) AS digest, CAST(max(length(hx) // 2) AS INTEGER) AS bytes, count(*) AS refs FROM ch GROUP BY 1"),

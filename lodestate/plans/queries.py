@@ -189,12 +189,6 @@ def route_keys(spark: SparkSession, d: str) -> DataFrame:
     return scan.route(S.entries(spark, d), tablets(spark)).groupBy("tablet").agg(F.count(F.lit(1)).alias("keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-@query
-def directory_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    extra = spark.sql("select 9 as tablet, 'order:0000004000' as start_key, 'order:0000006000' as end_key")
-    return scan.overlaps(tablets(spark).unionByName(extra))
-
-
 @query
 def index_equal(spark: SparkSession, d: str) -> DataFrame:
     return index.equal(S.index_entries(spark, d), S.entries(spark, d), "F", 500)
@@ -321,18 +315,6 @@ def control_sustained(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.sustained(r.select("scope", "window", (F.col("writes") > 3 * F.col("reads")).alias("flag")), 3)
 
 
-@query
-def control_health(spark: SparkSession, d: str) -> DataFrame:
-    r = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tablet"), (F.col("l_returnflag") != "R").alias("up"))
-    return control.health(r)
-
-
-@query
-def control_budget(spark: SparkSession, d: str) -> DataFrame:
-    o = S.table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("lane"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice")).cast("long").alias("bytes"), F.substring("o_orderpriority", 1, 1).alias("priority"))
-    return control.budget(o, 5_000_000)
-
-
 @query
 def control_split_or_merge(spark: SparkSession, d: str) -> DataFrame:
     t = tablets(spark).join(scan.route(S.entries(spark, d), tablets(spark)).groupBy("tablet").agg(F.count(F.lit(1)).alias("objects")), "tablet")
