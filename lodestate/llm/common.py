@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 #: Groups with one in so many rows or more are broadcast to their rows.
-HEAVY = 100_000
+HEAVY = 10_000
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 

@@ -99,7 +99,7 @@ def test_exact_dedup(docs, corpus):
         by[hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()].append(d)
     want = {(d, min(g), len(g), d == min(g), h) for h, g in by.items() for d in g}
     assert {tuple(r) for r in exact_dedup.duplicate_groups(docs).collect()} == want
-    assert {tuple(r) for r in exact_dedup.duplicate_groups(docs, cells=4).collect()} == want  # a filter that lets all through
+    assert {tuple(r) for r in exact_dedup.duplicate_groups(docs, cells_per_row=0, part_rows=50, heavy=20).collect()} == want  # full, in parts, with light groups
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {min(g) for g in by.values()}
 
