@@ -2,8 +2,9 @@
 
 Messages form trees by parent pointers. Iterative self-joins by pointer doubling build, for each k, the table of
 2^k-th ancestors; joining leaves with those tables enumerates every root-to-leaf path in log2(depth) rounds, whatever the
-depth. Branches are ranked by the mean score of their messages (ties: smaller leaf), the best `keep` paths of a tree are
-formatted as one conversation each, with the spans of the assistant texts as loss mask.
+depth. Branches are ranked by the mean score of their messages (ties: smaller leaf); only the best `keep` paths of a tree meet
+their texts, and are formatted as one conversation each, with the spans of the assistant texts as loss mask. A conversation's text
+is one row by definition, so a very long one needs that much memory in one task; a tree of many branches does not.
 
 Template: `[INST] role\\ntext [/INST]` for each message but the assistant's, `<s>text</s>` for those. Inside texts and roles
 the control strings and the escape sign `~` are replaced by `~` and a digit, which `unescape` turns back exactly; a line
@@ -11,7 +12,8 @@ break inside a role becomes `~5`.
 
 Defined cases: null text and null role count as empty; messages of equal position keep the order given to
 `from_turns` (turn, role, text); an orphan (its parent is missing) counts as a root; an empty table gives no rows; a
-message on a parent cycle has no root and is on no path; messages of the null tree are a tree of their own. Only the named columns of the input are read.
+message on a parent cycle has no root and is on no path; messages of the null tree are a tree of their own; texts of any length
+are formatted whole. Only the named columns of the input are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 # What the template's control strings become inside a text. The escape sign comes first.
 ESCAPES = [("~", "~0"), ("</s>", "~1"), ("<s>", "~2"), ("[INST]", "~3"), ("[/INST]", "~4")]
@@ -71,29 +73,32 @@ def paths(messages: DataFrame) -> DataFrame:
     for k in reversed(range(len(jumps))):
         more = _join(at, jumps[k], "node").select("a.tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         at = materialize(at.unionByName(more), "path")
+    discard(*jumps)
     return at
 
 
+def chosen_paths(messages: DataFrame, keep: int) -> DataFrame:
+    """(tree, leaf, node, up, score) of the best `keep` paths of each tree, score being the path's."""
+    every = paths(messages)
+    scored = _join(every, messages.select("tree", "node", "score"), "node").select("a.tree", "leaf", "score")
+    scored = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc_nulls_last("score"), "leaf"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= keep)
+    return every.alias("p").join(best.alias("q"), F.expr("p.tree <=> q.tree and p.leaf = q.leaf")).select("p.*", "q.score")
+
+
 def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """One row per chosen path: tree, leaf, score, formatted (string), loss (array of start and length in code points)."""
-    on_path = _join(paths(messages), messages.select("tree", "node", "role", "text", "score"), "node").select("a.*", "role", "text", "score")
     part = F.when(F.col("role") == "assistant", F.concat(F.lit("<s>"), escape(F.col("text")), F.lit("</s>"))).otherwise(
         F.concat(F.lit("[INST] "), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"), escape(F.col("text")), F.lit(" [/INST]"))
     )
-    turns = on_path.select("tree", "leaf", "score", F.struct((-F.col("up")).alias("at"), part.alias("part"), (F.col("role") == "assistant").alias("loss")).alias("turn"))
-    whole = turns.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.array_sort(F.collect_list("turn")).alias("turns"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc_nulls_last("score"), "leaf"))
-    whole = whole.withColumn("rank", rank).where(F.col("rank") <= keep)
-    sizes = F.transform("turns", lambda t: F.length(t["part"]).cast("long"))
-    ends = F.aggregate(
-        sizes,
-        F.array(F.lit(0).cast("long")),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
-    spans = F.filter(
-        F.zip_with("turns", F.slice(ends, 1, F.size("turns")), lambda t, s: F.struct((s + 3).alias("start"), F.when(t["loss"], F.length(t["part"]).cast("long") - 7).alias("length"))),
-        lambda s: s["length"].isNotNull(),
-    )
+    parts = messages.select("tree", "node", part.alias("part"), (F.col("role") == "assistant").alias("own"))
+    turns = _join(chosen_paths(messages, keep), parts, "node").select("a.*", "part", "own", F.length("part").cast("long").alias("size"))
+    before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)) + 3)
+    turn = F.struct((-F.col("up")).alias("at"), "part", F.when(F.col("own"), F.struct("start", (F.col("size") - 7).alias("length"))).alias("span"))
+    whole = turns.groupBy("tree", "leaf").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull())
     return whole.select("tree", "leaf", "score", F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("formatted"), spans.alias("loss"))
 
 
