@@ -10,8 +10,8 @@ item's windows are one Arrow stream (`pack`), the binary column of a Parquet tab
 Each item is computed by itself in blocks of a fixed number of frames, so equal payloads give equal bits whatever their batch,
 and memory stays bounded for very long items.
 
-Defined cases: a null text counts as empty; an item shorter than a frame is padded to one; silence has no segments; an empty
-table gives an empty result; other columns of the input are not read.
+Defined cases: a null text counts as empty; an item shorter than a frame is padded to one; silence has no segments; repeated rows
+are items of their own; an empty table gives an empty result; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of, tune
 
 RATE = 16_000
-UP, DOWN, TAPS = 1, 2, 16
+UP, DOWN, TAPS = 3, 8, 16
 FRAME, HOP, MELS = 256, 128, 24
 TENSOR_FRAMES = 32
 FLOOR = 1e-6
-BLOCK_FRAMES = 2048
+BLOCK_FRAMES, BLOCK_SAMPLES = 2048, 1 << 16
 #: Payloads are padded with bytes 255 to a positive multiple of this.
 UNIT = 576
 
@@ -63,13 +63,17 @@ def _filter() -> np.ndarray:
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """x at UP/DOWN of its rate: each output sample is the product of one branch with the TAPS inputs before it."""
-    n = -(-len(x) * UP // DOWN)
-    at = np.arange(n) * DOWN
+    """x at UP/DOWN of its rate: each output sample is the product of one branch with the TAPS inputs up to its place. Samples of one
+    phase are DOWN inputs apart; they are made in blocks, so that only x and the result are held whole."""
+    out = np.empty(-(-len(x) * UP // DOWN), np.float32)
     rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(TAPS - 1, np.float32), x]), TAPS)
-    if UP == 1:
-        return rows[::DOWN][:n] @ _filter()[0][::-1]
-    return np.einsum("ij,ij->i", rows[at // UP], _filter()[at % UP][:, ::-1])
+    for k in range(UP):
+        at, phase = divmod(k * DOWN, UP)
+        target = out[k::UP]
+        own, branch = rows[at::DOWN][: len(target)], _filter()[phase][::-1]
+        for a in range(0, len(target), BLOCK_SAMPLES):
+            target[a : a + BLOCK_SAMPLES] = own[a : a + BLOCK_SAMPLES] @ branch
+    return out
 
 
 @functools.cache
