@@ -9,23 +9,23 @@ is the score below which `REJECT_SHARE` of the correctly predicted texts fall. W
 such texts that score is unknown and no score is rejected. `accepted` is false for scores below it and
 for texts without a letter.
 
-The model is fitted and calibrated on at most `SAMPLE_DOCS` labelled documents (by a hash of the id over the whole table): a
-documented bound of the training only. Their whole texts are read where they lie; only counts by bucket come to the driver.
-Predictions read every whole text.
+The model is fitted and calibrated on at most `SAMPLE_DOCS` labelled documents, those of the smallest row hash in the whole table
+(equal rows count once): a documented bound of the training only. Their whole texts are read where they lie; only counts by bucket
+come to the driver. Predictions read every whole text.
 
-Defined cases: null text or one without a letter is `und` with score 0; without a labelled row every text is `und`; equal
-texts get equal results; an empty table gives an empty result; other columns of the input are not read.
+Defined cases: null text or one without a letter (Unicode's L) is `und` with score 0; without a labelled row every text is `und`;
+of equally likely classes the first by name is predicted; equal texts get equal results; a text of any length is summed block by
+block, each subword once; an empty table gives an empty result; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import bounded_sample, tune
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -39,16 +39,18 @@ BLOCK_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def subwords(raw: np.ndarray) -> np.ndarray:
-    """Buckets of all byte 3-grams, then of all 4-grams."""
-    b = _LOWER[raw]
-    three = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:] if len(b) > 2 else np.empty(0, np.uint32)
-    four = (three[:-1] << np.uint32(8)) | b[3:] if len(b) > 3 else np.empty(0, np.uint32)
+def blocks(text: str):
+    """The buckets of a text's subwords, block by block: the byte 3-grams that start in a block, then its 4-grams."""
+    raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
     shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
-    return np.concatenate([(three * np.uint32(2654435761)) >> shift, (four * np.uint32(2246822519)) >> shift])
+    for a in range(0, max(0, len(raw) - 2), BLOCK_BYTES):
+        b = raw[a : a + BLOCK_BYTES + 3]
+        three = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
+        four = (three[:-1] << np.uint32(8)) | b[3:]
+        yield np.concatenate([(three[:BLOCK_BYTES] * np.uint32(2654435761)) >> shift, (four * np.uint32(2246822519)) >> shift])
 
 
 class LanguageModel:
@@ -58,13 +60,10 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.classes or not _LETTER.search(text):
             return "und", 0.0, False
-        raw = np.frombuffer(text.encode(), np.uint8)
         total, n = np.zeros(len(self.classes)), 0
-        for a in range(0, len(raw), BLOCK_BYTES):
-            count = np.bincount(subwords(raw[a : a + BLOCK_BYTES + 3]), minlength=BUCKETS) if len(raw) > 20_000 else None
-            ids = subwords(raw[a : a + BLOCK_BYTES + 3]) if count is None else None
-            total += self.scores[ids].sum(axis=0) if count is None else count @ self.scores
-            n += len(ids) if count is None else int(count.sum())
+        for ids in blocks(text):
+            total += self.scores[ids].sum(axis=0)
+            n += len(ids)
         logits = (total / max(1, n) + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         p /= p.sum()
@@ -74,9 +73,9 @@ class LanguageModel:
 
 def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a whole text's subwords, ascending, and how often each occurs."""
-    raw, count = np.frombuffer(text.encode(), np.uint8), np.zeros(BUCKETS, np.int64)
-    for a in range(0, len(raw), BLOCK_BYTES):
-        count += np.bincount(subwords(raw[a : a + BLOCK_BYTES + 3]), minlength=BUCKETS)
+    count = np.zeros(BUCKETS, np.int64)
+    for found in blocks(text):
+        count += np.bincount(found, minlength=BUCKETS)
     ids = np.flatnonzero(count)
     return ids.astype(np.uint16), count[ids]
 
@@ -138,7 +137,6 @@ def fold(column: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learn from labelled documents outside the held-out fold."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2))
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     tune(docs.sparkSession)
 
     def run(batches):
@@ -149,8 +147,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
             ids, n = (pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], ids, n], names=["doc_id", "lang", "ids", "n"])
 
-    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    rows = rows.mapInArrow(run, "doc_id long, lang string, ids binary, n binary").limit(2 * sample_docs).collect()
+    rows = bounded_sample(usable.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), sample_docs)
+    rows = rows.mapInArrow(run, "doc_id long, lang string, ids binary, n binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["ids"], r["n"], r["lang"]))
     return train([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["n"], np.int64)) for r in rows], [r["lang"] for r in rows])
 
