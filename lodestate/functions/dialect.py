@@ -103,3 +103,8 @@ def window_kind(start: Column, end: Column) -> Column:
     bare = start.rlike(prefix)
     both = bare & end.rlike(prefix) & (F.substring(start, 1, 34) == F.substring(end, 1, 34)) & (start < end)
     return F.when(bare & (prefix_successor(start) == end), "TermWindow").when(both, "TermRange").otherwise("Scan")
+
+
+def derived_id(session: Column, sequence: Column, attempt: Column) -> Column:
+    """The identity of a permit or a transaction: 128 bits (hex) of a hash of who asked, which request, which attempt."""
+    return F.substring(F.sha2(F.concat_ws(":", session, sequence, attempt).cast("binary"), 256), 1, 32)

@@ -33,26 +33,50 @@ def page_cursor(page: DataFrame) -> DataFrame:
     return page.agg(F.concat(F.max("key"), F.lit("\0")).alias("next_cursor"), F.count(F.lit(1)).alias("items"))
 
 
-def median_split(state: DataFrame, bits: int = 10) -> DataFrame:
-    """The first key at which the bytes from the second key on reach half of all. Two steps instead of one ordered window: totals by
-    key prefix find the prefix that holds the split, then only its rows are summed in order."""
-    size = F.octet_length(F.encode("key", "utf-8")) + F.octet_length("value")
-    prefix = F.substring("key", 1, bits)
-    groups = state.groupBy(prefix.alias("prefix")).agg(F.sum(size).alias("bytes"))
-    w = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
-    total = state.agg(F.sum(size).alias("total"), F.min(F.struct("key", size.alias("size"))).alias("head"))
-    groups = groups.join(F.broadcast(total)).where("2 * (before + bytes - head.size) >= total").orderBy("prefix").limit(1)  # one row against one row
-    rows = state.withColumn("prefix", prefix).join(F.broadcast(groups), "prefix")
-    running = F.col("before") + F.sum(size).over(Window.partitionBy("prefix").orderBy("key")) - F.col("head.size")
-    return rows.withColumn("running", running).where("2 * running >= total and key > head.key").agg(F.min("key").alias("split_key"))
+def median_split(state: DataFrame, bits: int = 4) -> DataFrame:
+    """The first key at which the bytes from the second key on reach half of all. Totals by key prefix find the prefix that holds the
+    split; prefixes grow, `bits` characters a step, until that prefix is one key, so no step sorts more than the prefixes of one."""
+    sized = state.select("key", (F.octet_length(F.encode("key", "utf-8")) + F.octet_length("value")).cast("long").alias("size"))
+    whole = sized.agg(F.sum("size").alias("total"), F.min(F.struct("key", "size")).alias("head"), F.max(F.length("key")).alias("longest")).first()
+    if whole["total"] is None:
+        return sized.select(F.col("key").alias("split_key")).limit(0)
+    rest, before, prefix, n = sized.where(F.col("key") > F.lit(whole["head"]["key"])), 0, "", 0
+    while n < whole["longest"]:
+        n += bits
+        groups = rest.where(F.col("key").startswith(prefix)).groupBy(F.substring("key", 1, n).alias("prefix")).agg(F.sum("size").alias("bytes"))
+        running = F.sum("bytes").over(Window.orderBy("prefix"))  # of one prefix's longer prefixes
+        found = groups.withColumn("reached", F.lit(before) + running).where(F.col("reached") * 2 >= whole["total"]).orderBy("prefix").first()
+        if found is None:
+            return sized.select(F.lit(None).cast("string").alias("split_key")).limit(1)
+        prefix, before = found["prefix"], found["reached"] - found["bytes"]
+    return sized.sparkSession.createDataFrame([(prefix,)], "split_key string")
 
 
 def stats(state: DataFrame) -> DataFrame:
     return state.agg(F.count(F.lit(1)).alias("object_count"), F.sum(F.octet_length("key")).alias("key_bytes"), F.sum(F.octet_length("value")).alias("value_bytes"))
 
 
+MAX_TABLETS = 1_000_000
+
+
 def route(state: DataFrame, tablets: DataFrame) -> DataFrame:
-    """Each key with the tablet whose [start, end) holds it; tablets are a small table (one row per partition of the keyspace)."""
-    inside = (F.col("key") >= F.col("start_key")) & (F.col("end_key").isNull() | (F.col("key") < F.col("end_key")))
-    return state.join(F.broadcast(tablets), inside)
+    """Each key with the tablet whose [start_key, end_key) holds it. A directory is small, which is checked, so its sorted starts go to
+    every task, which finds the last one at or below each key by binary search."""
+    rows = [(t["start_key"] or "", t["end_key"], t["tablet"]) for t in tablets.select("start_key", "end_key", "tablet").limit(MAX_TABLETS + 1).collect()]
+    if len(rows) > MAX_TABLETS:
+        raise ValueError(f"a directory has {MAX_TABLETS} tablets at most")
+    rows.sort(key=lambda r: r[0].encode())
+    starts, ends, numbers = [r[0].encode() for r in rows], [r[1] and r[1].encode() for r in rows], [r[2] for r in rows]
+
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        for b in batches:
+            keys = [k.encode() for k in b["key"].to_pylist()]
+            at = [bisect.bisect_right(starts, k) - 1 for k in keys]
+            own = [numbers[i] if i >= 0 and (ends[i] is None or k < ends[i]) else None for i, k in zip(at, keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(own, pa.int64())], names=["key", "tablet"])
+
+    return state.select("key").mapInArrow(run, "key string, tablet long").where("tablet is not null")

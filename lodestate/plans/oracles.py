@@ -86,9 +86,6 @@ ORACLE_SQL = {
     "txn_decisions": _with(EVENTS, "SELECT key % 50 AS txn, arg_min(CASE kind WHEN 'purchase' THEN 'Committed' ELSE 'Aborted' END, seq) AS decision, count(DISTINCT kind) > 1 AS conflict FROM ev WHERE kind IN ('purchase', 'error') GROUP BY key % 50"),
     "exactly_once": _with(EVENTS, """SELECT key % 40 AS session, seq // 3 AS request, min(seq) AS "commit", arg_min(CASE kind WHEN 'click' THEN k WHEN 'purchase' THEN -k ELSE 0 END, seq) AS delta, count(*) AS attempts
         FROM ev WHERE kind IN ('click', 'purchase', 'error') GROUP BY key % 40, seq // 3"""),
-    "read_bounded_stale": _with(EVENTS + """, rc AS (SELECT now_us AS p, seq AS position FROM ev WHERE seq % 100 = 0),
-        rd AS (SELECT now_us, seq AS id, k * 60000000 AS age FROM ev WHERE seq % 100 <> 0 AND seq % 4 = 0)""",
-        "SELECT id, CASE WHEN now_us - p <= age THEN 'Ok' ELSE 'Escalate' END AS status, CASE WHEN now_us - p <= age THEN position END AS position FROM rd ASOF LEFT JOIN rc ON now_us >= p"),
     "read_freshness": _with(INDEX, "SELECT CASE WHEN ix.version = en.version THEN 'Current' WHEN ix.version < en.version THEN 'Stale' ELSE 'Future' END AS freshness, count(*) AS entries FROM ix JOIN en ON prim = key GROUP BY 1"),
     "telemetry_monotone": _with(TELEMETRY + ", tm AS (SELECT scope, sequence AS a, CASE WHEN sequence % 13 = 0 THEN sequence - 40 ELSE sequence END AS s FROM te), tn AS (SELECT *, max(s) OVER (PARTITION BY scope ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM tm)",
         "SELECT scope, count(*) AS accepted FROM tn WHERE b IS NULL OR s > b GROUP BY scope"),
@@ -111,7 +108,6 @@ ORACLE_SQL = {
         "SELECT tablet, CASE WHEN n >= 3500 THEN 'Split' WHEN n <= 3000 AND lead(n) OVER (ORDER BY start_key) <= 3000 THEN 'Merge' ELSE 'Keep' END AS action FROM tc"),
     "storage_chunks": _with(CHUNKS, "SELECT sha256(unhex(hx)) AS digest, CAST(max(length(hx) // 2) AS INTEGER) AS bytes, count(*) AS refs FROM ch GROUP BY 1"),
     "storage_manifests": _with(CHUNKS, "SELECT key, CAST(sum(length(hx) // 2) AS BIGINT) AS logical_len, sha256(string_agg(sha256(unhex(hx)), '' ORDER BY ordinal)) AS manifest FROM ch GROUP BY key"),
-    "storage_garbage": "SELECT DISTINCT l_suppkey AS pack FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey % 97 = 0)",
     "storage_dirty_bands": _with(WRITES, "SELECT key % 256 AS band, count(*) AS writes, max(seq) AS last_seq FROM wr WHERE seq > 500 GROUP BY 1"),
     "storage_reclaim": _with(EVENTS, "SELECT seq // 64 AS segment FROM ev GROUP BY 1 HAVING max(seq) <= (SELECT min(f) FROM (SELECT max(seq) AS f FROM ev GROUP BY key % 8))"),
 }

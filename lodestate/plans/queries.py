@@ -262,14 +262,6 @@ def session_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return fold.sessions(S.retry_log(spark, d)).withColumnRenamed("key", "session")
 
 
-@query
-def read_bounded_stale(spark: SparkSession, d: str) -> DataFrame:
-    e = S.events(spark, d)
-    receipts = e.where("seq % 100 = 0").select((F.col("seq") % 4).alias("lane"), F.col("now_us").alias("proven_us"), F.col("seq").alias("position"))
-    reads = e.where("seq % 100 <> 0 and seq % 4 = 0").select((F.col("seq") % 4).alias("lane"), "now_us", F.col("seq").alias("id"), (F.col("k") * S.MINUTE_US).alias("max_age_us"))
-    return contracts.bounded_stale(reads, receipts)
-
-
 @query
 def read_freshness(spark: SparkSession, d: str) -> DataFrame:
     joined = S.index_entries(spark, d).withColumnRenamed("version", "entry_version").join(S.entries(spark, d).select(F.col("key").alias("primary"), "version"), "primary")
@@ -331,13 +323,6 @@ def storage_manifests(spark: SparkSession, d: str) -> DataFrame:
     return storage.manifests(storage.chunks(S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value")), 1024))
 
 
-@query
-def storage_garbage(spark: SparkSession, d: str) -> DataFrame:
-    line = S.table(spark, d, "lineitem")
-    packs = line.select(F.col("l_suppkey").alias("pack"), F.col("l_partkey").alias("digest"))
-    return storage.garbage(packs, line.where("l_partkey % 97 = 0").select(F.col("l_partkey").alias("digest")))
-
-
 @query
 def storage_dirty_bands(spark: SparkSession, d: str) -> DataFrame:
     return storage.dirty_bands(S.bytes_log(spark, d).where("op in ('set', 'set_ex', 'delete')"), 500)
