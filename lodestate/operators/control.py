@@ -103,3 +103,55 @@ class Detector:
 def liveness(polls: DataFrame) -> DataFrame:
     """key, seq, state, misses after every poll (key, seq, alive)."""
     return ordered_fold(polls, Detector, ["alive"], "state string, misses long")
+
+
+def scrub_batches(targets: DataFrame, max_bytes: int) -> DataFrame:
+    """lane, batch, asset, offset, bytes: what each batch of a lane checks, assets (lane, asset, bytes) in order of their number. An asset
+    that does not fit is cut where the batch is full and goes on in the next one. Empty assets are passed over."""
+    end = F.sum("bytes").over(Window.partitionBy("lane").orderBy("asset"))
+    rows = targets.where("bytes > 0").withColumn("end", end).withColumn("start", F.col("end") - F.col("bytes"))
+    rows = rows.withColumn("batch", F.explode(F.expr(f"sequence(start div {max_bytes}, (end - 1) div {max_bytes})")))
+    first, last = F.greatest("start", F.col("batch") * max_bytes), F.least("end", (F.col("batch") + 1) * max_bytes)
+    return rows.select("lane", "batch", "asset", (first - F.col("start")).alias("offset"), (last - first).alias("bytes"))
+
+
+def redundancy(fragments: DataFrame, needed: int) -> DataFrame:
+    """asset, total, usable, survivable, health of assets' fragments (asset, domain, usable): only usable fragments in different domains
+    count as protection, beyond the needed ones."""
+    by = fragments.groupBy("asset").agg(F.count(F.lit(1)).alias("total"), F.count_if("usable").alias("usable"), F.count_distinct(F.when(F.col("usable"), F.col("domain"))).alias("domains"))
+    tolerance = F.greatest(F.col("total") - needed, F.lit(0))
+    by = by.withColumn("survivable", F.least(F.greatest(F.col("domains") - needed, F.lit(0)), tolerance))
+    hurt = (tolerance > F.col("survivable")) | (F.col("usable") < F.col("total"))
+    health = F.when(F.col("usable") < needed, "Unrecoverable").when(hurt & (F.col("survivable") == 0), "Critical").when(hurt, "Degraded").otherwise("Healthy")
+    return by.select("asset", "total", "usable", "survivable", health.alias("health"))
+
+
+def spread(assets: DataFrame, nodes: DataFrame, fragments: int) -> DataFrame:
+    """asset, fragment, node: each fragment goes to the node of the highest hash of (asset, fragment, node) whose domain has none of the
+    asset's yet; when all domains have one, to the node with the fewest, of those the highest hash. nodes is small, which is checked."""
+    found = [(r["node"], r["domain"]) for r in nodes.orderBy("node").limit(10_001).collect()]
+    if not 0 < len(found) <= 10_000:
+        raise ValueError("placement needs 1 to 10,000 nodes")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def rank(asset, fragment, node):
+            return hashlib.blake2b(f"{asset}:{fragment}:{node}".encode(), digest_size=8).digest()
+
+        for b in batches:
+            rows = []
+            for asset in b["asset"].to_pylist():
+                used, load = set(), dict.fromkeys((n for n, _ in found), 0)
+                for fragment in range(fragments):
+                    order = sorted(found, key=lambda n: (rank(asset, fragment, n[0]), n[0]), reverse=True)  # noqa: B023
+                    node, domain = next((n for n in order if n[1] not in used), None) or min(order, key=lambda n: load[n[0]])  # noqa: B023
+                    used.add(domain)
+                    load[node] += 1
+                    rows.append((asset, fragment, node))
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["asset", "fragment", "node"])
+
+    return assets.select(F.col("asset").cast("long")).mapInArrow(run, "asset long, fragment long, node long")

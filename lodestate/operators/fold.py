@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestate.functions.dialect import is_live
@@ -203,24 +203,32 @@ class Semaphore:
 
     MAX_PERMITS = 4096
 
-    def __init__(self, capacity: int = 200):
-        self.capacity, self.held, self.used = capacity, {}, 0
+    def __init__(self):
+        self.capacity, self.held, self.used = None, {}, 0
 
-    def apply(self, op: str, permit: int, owner: int, qty: int) -> tuple:
-        """status, used after."""
-        if op == "acquire":
+    def apply(self, op: str, permit: int | None, owner: int | None, qty: int | None) -> tuple:
+        """status, released (of a release), and used and capacity after."""
+        status, released = "Ok", None
+        if op == "create":
+            if self.capacity is None:
+                self.capacity = qty
+            else:
+                status = "WrongType"
+        elif op == "release":
+            released = permit in self.held
+            if released:
+                self.used -= self.held.pop(permit)[1]
+        elif self.capacity is None:
+            status = "NotFound"
+        elif op == "acquire" and qty:
             if permit in self.held:
-                return "Ok" if self.held[permit] == (owner, qty) else "SemaphoreExhausted", self.used
-            if self.used + qty > self.capacity or qty and len(self.held) >= self.MAX_PERMITS:
-                return "SemaphoreExhausted", self.used
-            if qty:
+                status = "Ok" if self.held[permit] == (owner, qty) else "SemaphoreExhausted"
+            elif len(self.held) >= self.MAX_PERMITS or self.used + qty > self.capacity:
+                status = "SemaphoreExhausted"
+            else:
                 self.held[permit] = (owner, qty)
                 self.used += qty
-            return "Ok", self.used
-        if permit not in self.held:
-            return "NotFound", self.used
-        self.used -= self.held.pop(permit)[1]
-        return "Ok", self.used
+        return status, released, self.used, self.capacity
 
 
 class Stream:
@@ -311,7 +319,47 @@ def typed(log: DataFrame) -> DataFrame:
 
 
 def semaphores(log: DataFrame) -> DataFrame:
-    return ordered_fold(log, Semaphore, ["op", "permit", "owner", "qty"], "status string, used long")
+    """The outcome of every create, acquire, release and inspect of semaphores."""
+    return ordered_fold(log, Semaphore, ["op", "permit", "owner", "qty"], "status string, released boolean, used long, capacity long")
+
+
+def recover(checkpoint: DataFrame, tail: DataFrame) -> DataFrame:
+    """key, value, version, expires_us after the log's tail, from the state (those columns) at its floor. A checkpointed object is the
+    first write of its life, and that life's versions go on from its own."""
+    base = checkpoint.select("key", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("long").alias("now_us"), F.lit("set_ex").alias("op"), "value", "expires_us")
+    after = versions(base.unionByName(tail.select("key", "seq", "now_us", "op", "value", "expires_us"))).where("until_seq is null")
+    old = checkpoint.select("key", (F.col("version") - 1).alias("more"))
+    version = F.col("version") + F.when(F.col("life") == 1, F.coalesce("more", F.lit(0))).otherwise(0)
+    return after.join(old, "key", "left").select("key", "value", version.alias("version"), "expires_us")
+
+
+class Linear:
+    """A linear scorer over integer features, taught one sample after another: each weight moves against the error that the weights
+    before it leave, cut to whole numbers."""
+
+    RATE_PPM, LARGEST = 1_000, 2**31 - 1
+
+    def __init__(self, size: int = 3):
+        self.weights, self.bias, self.residual = [0] * size, 0, 0
+
+    def score(self, features: list[int]) -> int:
+        return sum(w * f for w, f in zip(self.weights, features, strict=True)) + self.bias
+
+    def apply(self, features: list[int], target: int) -> tuple[int, int]:
+        """the score before the sample, and the sum of absolute errors after it."""
+        before = self.score(features)
+        for i, f in enumerate(features):
+            step = (target - self.score(features)) * f * self.RATE_PPM
+            step = step // 1_000_000 if step >= 0 else -(-step // 1_000_000)
+            step = max(-self.LARGEST - 1, min(self.LARGEST, step))
+            self.weights[i] = max(-self.LARGEST - 1, min(self.LARGEST, self.weights[i] + step))
+        self.residual += abs(target - self.score(features))
+        return before, self.residual
+
+
+def taught(samples: DataFrame) -> DataFrame:
+    """key, seq, score, residual of samples (key: the model, seq, features: array, target)."""
+    return ordered_fold(samples, Linear, ["features", "target"], "score long, residual long")
 
 
 def leases(log: DataFrame) -> DataFrame:
@@ -419,3 +467,28 @@ def exactly_once(log: DataFrame, session: str, request: str, order: str) -> Data
     rest = [c for c in log.columns if c not in (session, request)]
     first = log.groupBy(session, request).agg(F.min_by(F.struct(*rest), order).alias("r"), F.count(F.lit(1)).alias("attempts"))
     return first.select(session, request, "r.*", "attempts")
+
+
+# The type that each typed read needs.
+READS = {"get": "bytes", "counter_get": "counter", "bounded_get": "bounded", "stream_read": "stream"}
+
+
+def typed_reads(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """id, status, answer of requests (id, key, op) on typed objects (key, kind, value, number): a read of another type is WrongType, of
+    nothing null (a bounded counter refuses that too), and exists asks for any type."""
+    seen = requests.join(state, "key", "left")
+    wanted = F.coalesce(*(F.when(F.col("op") == op, kind) for op, kind in READS.items()))
+    there, any_type = F.col("kind").isNotNull(), F.col("op") == "exists"
+    status = F.when(any_type, "Ok").when(~there, F.when(F.col("op") == "bounded_get", "BoundedExceeded").otherwise("Ok")).when(F.col("kind") != wanted, "WrongType").otherwise("Ok")
+    answer = F.when(any_type, there.cast("string")).when(there & (F.col("kind") == wanted), F.when(F.col("op") == "get", F.col("value")).otherwise(F.col("number").cast("string")))
+    return seen.select("id", status.alias("status"), answer.alias("answer"))
+
+
+def descriptors(state: DataFrame) -> DataFrame:
+    """key, descriptor of typed objects: the length of bytes, the number of others."""
+    return state.select("key", F.concat_ws(":", "kind", F.when(F.col("kind") == "bytes", F.octet_length("value").cast("long")).otherwise(F.col("number"))).alias("descriptor"))
+
+
+def linear_score(weights: list[int], bias: int, features) -> Column:
+    products = F.zip_with(F.array(*(F.lit(w).cast("long") for w in weights)), features, lambda w, f: w * f)
+    return F.aggregate(products, F.lit(bias).cast("long"), lambda a, x: a + x)

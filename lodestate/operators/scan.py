@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def scan_range(state: DataFrame, start: str, end: str | None, limit: int, revers
 def within_budget(page: DataFrame, budget: int) -> DataFrame:
     """A page's rows up to the byte budget: the first row that overflows stops it; one that overflows an empty page is
     `Oversize`. page is at most one page (MAX_ITEMS rows), so one window over it is small."""
-    w = Window.orderBy("key")
+    w, budget = Window.orderBy("key"), min(budget, MAX_BYTES)
     size = F.octet_length("value").cast("long")
     total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = page.withColumns({"total": total, "n": F.row_number().over(w)})
@@ -33,6 +35,20 @@ def page_cursor(page: DataFrame) -> DataFrame:
     return page.agg(F.concat(F.max("key"), F.lit("\0")).alias("next_cursor"), F.count(F.lit(1)).alias("items"))
 
 
+def pages(state: DataFrame, start: str, size: int, count: int) -> DataFrame:
+    """The first `count` pages of `size` rows from start on, with their number: each page resumes at the cursor of the one before, so
+    keys may move between partitions meanwhile."""
+    out, at = [], start
+    for n in range(count):
+        page = scan_range(state, at, None, size).withColumn("page", F.lit(n).cast("long"))
+        out.append(page)
+        cursor = page_cursor(page).first()["next_cursor"]
+        if cursor is None:
+            break
+        at = cursor
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def median_split(state: DataFrame, bits: int = 4) -> DataFrame:
     """The first key at which the bytes from the second key on reach half of all. Totals by key prefix find the prefix that holds the
     split; prefixes grow, `bits` characters a step, until that prefix is one key, so no step sorts more than the prefixes of one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,9 +50,26 @@ def garbage(packs: DataFrame, reachable: DataFrame) -> DataFrame:
     return packs.select("pack").distinct().join(live, "pack", "left_anti")
 
 
-def dirty_bands(writes: DataFrame, floor: int, bands: int = 256) -> DataFrame:
-    """Bands with a write above the floor: only those are written anew."""
-    return writes.where(F.col("seq") > floor).groupBy(F.pmod("key", F.lit(bands)).alias("band")).agg(F.count(F.lit(1)).alias("writes"), F.max("seq").alias("last_seq"))
+def band(digest: Column) -> Column:
+    """One of 256: the top eight bits of a route hash in hex."""
+    return F.conv(F.substring(digest, 1, 2), 16, 10).cast("long")
+
+
+def dirty_bands(writes: DataFrame, floor: int) -> DataFrame:
+    """Bands with a write (seq, hash) above the floor: only those are written anew."""
+    return writes.where(F.col("seq") > floor).groupBy(band(F.col("hash")).alias("band")).agg(F.count(F.lit(1)).alias("writes"), F.max("seq").alias("last_seq"))
+
+
+def write_bands(state: DataFrame, path: str, bands: DataFrame | None = None) -> None:
+    """Write state (with hash) as Parquet, one folder for each band; with bands, only theirs, the folders of others stay."""
+    rows = state.withColumn("band", band(F.col("hash")))
+    if bands is not None:
+        rows = rows.join(bands.select("band"), "band", "left_semi")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("band").parquet(path)
+
+
+def read_bands(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("band")
 
 
 def reclaimable(segments: DataFrame, floors: DataFrame) -> DataFrame:

@@ -108,7 +108,6 @@ ORACLE_SQL = {
         "SELECT tablet, CASE WHEN n >= 3500 THEN 'Split' WHEN n <= 3000 AND lead(n) OVER (ORDER BY start_key) <= 3000 THEN 'Merge' ELSE 'Keep' END AS action FROM tc"),
     "storage_chunks": _with(CHUNKS, "SELECT sha256(unhex(hx)) AS digest, CAST(max(length(hx) // 2) AS INTEGER) AS bytes, count(*) AS refs FROM ch GROUP BY 1"),
     "storage_manifests": _with(CHUNKS, "SELECT key, CAST(sum(length(hx) // 2) AS BIGINT) AS logical_len, sha256(string_agg(sha256(unhex(hx)), '' ORDER BY ordinal)) AS manifest FROM ch GROUP BY key"),
-    "storage_dirty_bands": _with(WRITES, "SELECT key % 256 AS band, count(*) AS writes, max(seq) AS last_seq FROM wr WHERE seq > 500 GROUP BY 1"),
     "storage_reclaim": _with(EVENTS, "SELECT seq // 64 AS segment FROM ev GROUP BY 1 HAVING max(seq) <= (SELECT min(f) FROM (SELECT max(seq) AS f FROM ev GROUP BY key % 8))"),
 }
 
@@ -145,19 +144,6 @@ ORACLE_SQL |= {
         CASE kind WHEN 'error' THEN 0 WHEN 'view' THEN lv ELSE lv + 1 END, NULL, CASE WHEN kind = 'view' THEN substr(v, 2 * (k % 8) + 1, 8) END""",
     )
     + " SELECT key, seq, applied, ver AS version, v AS value_hex, rd AS read_hex FROM f WHERE n > 0",
-    "semaphore_outcomes": f"""WITH RECURSIVE {EVENTS}, a AS (
-        SELECT key % 20 AS key, seq, kind = 'click' AS acquire, k,
-            coalesce(last_value(CASE WHEN kind = 'click' THEN seq END IGNORE NULLS) OVER (PARTITION BY ev.key ORDER BY seq), -1) AS permit
-        FROM ev WHERE kind IN ('click', 'purchase')
-    ), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM a), f(key, n, seq, status, used, held) AS (
-        SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 'Ok', CAST(0 AS BIGINT), CAST([] AS STRUCT(p BIGINT, q BIGINT)[]) FROM o
-        UNION ALL
-        SELECT o.key, o.n, o.seq,
-            CASE WHEN acquire THEN CASE WHEN used + k > 200 THEN 'SemaphoreExhausted' ELSE 'Ok' END WHEN len(list_filter(held, lambda x: x.p = permit)) = 0 THEN 'NotFound' ELSE 'Ok' END,
-            CAST(CASE WHEN acquire THEN CASE WHEN used + k > 200 THEN used ELSE used + k END ELSE used - coalesce(list_sum(list_transform(list_filter(held, lambda x: x.p = permit), lambda x: x.q)), 0) END AS BIGINT),
-            CASE WHEN acquire THEN CASE WHEN used + k > 200 OR k = 0 THEN held ELSE list_append(held, {{'p': permit, 'q': k}}) END ELSE list_filter(held, lambda x: x.p <> permit) END
-        FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1
-    ) SELECT key, seq, status, used FROM f WHERE n > 0""",
 }
 
 ASSETS = """az AS (SELECT p_partkey, p_partkey AS n, CAST(p_size AS BIGINT) AS s FROM part), ap AS (

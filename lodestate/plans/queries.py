@@ -89,11 +89,6 @@ def bytes_splice(spark: SparkSession, d: str) -> DataFrame:
     return fold.typed(S.splice_log(spark, d)).drop("expires_us")
 
 
-@query
-def semaphore_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return fold.semaphores(S.semaphore_log(spark, d))
-
-
 @query
 def escrow_transfer(spark: SparkSession, d: str) -> DataFrame:
     """Each bounded counter gives k = key + 1 of its right to the next one: verdict and shares after. As its SQL, without the
@@ -323,11 +318,6 @@ def storage_manifests(spark: SparkSession, d: str) -> DataFrame:
     return storage.manifests(storage.chunks(S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value")), 1024))
 
 
-@query
-def storage_dirty_bands(spark: SparkSession, d: str) -> DataFrame:
-    return storage.dirty_bands(S.bytes_log(spark, d).where("op in ('set', 'set_ex', 'delete')"), 500)
-
-
 @query
 def storage_reclaim(spark: SparkSession, d: str) -> DataFrame:
     e = S.events(spark, d)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestate.operators import fold, storage
-from lodestate.plans.oracles import EVENTS, WRITES
+from lodestate.operators import control, directory, erasure, fold, scan, storage
+from lodestate.plans.oracles import ENTRIES, EVENTS, WRITES
 from lodestate.sources import oplog as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -152,3 +152,120 @@ def set_if_absent(spark: SparkSession, d: str) -> DataFrame:
     log = log.withColumn("op", F.when(F.col("op") == "delete", "delete").otherwise("set"))
     done = fold.conditional(log).where("applied and value is not null")
     return done.select("key", "seq", "value")
+
+
+@query(
+    recursion(
+        """SELECT key % 20 AS key, row_number() OVER (PARTITION BY key % 20 ORDER BY id) AS n, id, op, permit, key AS who, qty FROM (
+            SELECT key, seq * 3 + 1 AS id, kind AS op, k AS qty, coalesce(last_value(CASE WHEN kind = 'click' THEN seq END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq), -1) AS permit FROM ev WHERE kind <> 'signup'
+            UNION ALL SELECT key, seq * 3 + 2, 'click', k + CASE WHEN seq % 14 = 0 THEN 1 ELSE 0 END, seq FROM ev WHERE kind = 'click' AND seq % 7 = 0
+            UNION ALL SELECT any_value(key), (min(seq) + 60) * 3, 'error', 0, 0 FROM ev WHERE kind <> 'signup' GROUP BY key % 20)""",
+        "sq, status, released, used, cap, held",
+        "CAST(-1 AS BIGINT), '', CAST(NULL AS BOOLEAN), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(p BIGINT, o BIGINT, q BIGINT)[])",
+        """len(list_filter(held, lambda x: x.p = permit)) > 0 AS has, list_contains(held, {'p': permit, 'o': who, 'q': qty}) AS same, op = 'click' AND cap IS NOT NULL AND qty > 0 AND len(list_filter(held, lambda x: x.p = permit)) = 0 AND used + qty <= cap AS takes""",
+        """id, CASE op WHEN 'error' THEN CASE WHEN cap IS NULL THEN 'Ok' ELSE 'WrongType' END WHEN 'purchase' THEN 'Ok' ELSE CASE WHEN cap IS NULL THEN 'NotFound' WHEN op = 'view' OR qty = 0 OR same OR takes THEN 'Ok' ELSE 'SemaphoreExhausted' END END,
+        CASE WHEN op = 'purchase' THEN has END, CAST(CASE WHEN takes THEN used + qty WHEN op = 'purchase' AND has THEN used - list_filter(held, lambda x: x.p = permit)[1].q ELSE used END AS BIGINT),
+        CASE WHEN op = 'error' AND cap IS NULL THEN 200 ELSE cap END,
+        CASE WHEN takes THEN list_append(held, {'p': permit, 'o': who, 'q': qty}) WHEN op = 'purchase' THEN list_filter(held, lambda x: x.p <> permit) ELSE held END""",
+        "SELECT key, sq AS seq, status, released, used, cap AS capacity FROM f WHERE n > 0",
+    )
+)
+def semaphore_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return fold.semaphores(S.semaphore_log(spark, d))
+
+
+@query(f'WITH {WRITES} SELECT key, value, version, expires_us FROM st')
+def storage_recover(spark: SparkSession, d: str) -> DataFrame:
+    """The state out of a checkpoint at event 5,000 and the log behind it: the same as from the whole log."""
+    log = S.bytes_log(spark, d)
+    return fold.recover(fold.latest(log.where("seq <= 5000")), log.where("seq > 5000"))
+
+
+@query(f"""WITH {EVENTS}, bn AS (SELECT seq, CAST('0x' || substr(md5('1:' || key), 1, 2) AS BIGINT) AS band FROM ev WHERE kind IN ('signup', 'purchase', 'error') AND seq > 500)
+    SELECT band, count(*) AS writes, max(seq) AS last_seq FROM bn GROUP BY ALL""")
+def storage_dirty_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Bands, the top eight bits of the route hash, written since event 500."""
+    log = S.bytes_log(spark, d).where(F.col("op").isin(*fold.WRITES))
+    return storage.dirty_bands(log.withColumn("hash", directory.route_hash(1, F.col("key").cast("string"))), 500)
+
+
+@query("SELECT o_custkey AS key, o_orderkey AS seq, 3 * (o_custkey % 100) - 2 * (o_orderkey % 50) + CAST(round(o_totalprice) AS BIGINT) % 1000 + 7 AS score FROM orders")
+def linear_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a fixed linear model, inside the engine."""
+    o = S.table(spark, d, "orders")
+    features = F.array(F.col("o_custkey") % 100, F.col("o_orderkey") % 50, F.round(F.col("o_totalprice")).cast("long") % 1000)
+    return o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), fold.linear_score([3, -2, 1], 7, features).alias("score"))
+
+
+@query(None)
+def linear_taught(spark: SparkSession, d: str) -> DataFrame:
+    """A model for each of 16 scopes, taught by its orders."""
+    o = S.table(spark, d, "orders")
+    features = F.array(F.col("o_custkey") % 10, F.col("o_orderkey") % 5, F.lit(1).cast("long"))
+    return fold.taught(o.select((F.col("o_custkey") % 16).alias("key"), F.col("o_orderkey").alias("seq"), features.alias("features"), (F.col("o_custkey") % 10 * 40).alias("target")))
+
+
+TYPES = "ty AS (SELECT c_custkey AS key, ['bytes', 'counter', 'bounded', 'stream'][c_custkey % 4 + 1] AS kind, c_name AS value, CAST(round(c_acctbal) AS BIGINT) AS number FROM customer WHERE c_custkey % 9 <> 0)"
+
+
+@query(f"""WITH {TYPES}, rq AS (SELECT o_orderkey AS id, o_custkey + o_orderkey % 3 AS key, ['get', 'counter_get', 'bounded_get', 'stream_read', 'exists'][o_orderkey % 5 + 1] AS op, ['bytes', 'counter', 'bounded', 'stream', NULL][o_orderkey % 5 + 1] AS wants FROM orders)
+    SELECT id, CASE WHEN op = 'exists' THEN 'Ok' WHEN kind IS NULL THEN CASE WHEN op = 'bounded_get' THEN 'BoundedExceeded' ELSE 'Ok' END WHEN kind <> wants THEN 'WrongType' ELSE 'Ok' END AS status,
+        CASE WHEN op = 'exists' THEN CASE WHEN kind IS NULL THEN 'false' ELSE 'true' END WHEN kind <> wants OR kind IS NULL THEN NULL WHEN op = 'get' THEN value ELSE CAST(number AS VARCHAR) END AS answer FROM rq LEFT JOIN ty USING (key)""")
+def typed_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of objects of four types, many of the wrong one or of none."""
+    pick = lambda names, at: F.element_at(F.array(*(F.lit(n) for n in names)), (at + 1).cast("int"))
+    ops = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_custkey + o_orderkey % 3").alias("key"), pick(["get", "counter_get", "bounded_get", "stream_read", "exists"], F.col("o_orderkey") % 5).alias("op"))
+    return fold.typed_reads(ops, typed_state(spark, d))
+
+
+def typed_state(spark: SparkSession, d: str) -> DataFrame:
+    pick = F.element_at(F.array(*map(F.lit, ("bytes", "counter", "bounded", "stream"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return S.table(spark, d, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("key"), pick.alias("kind"), F.col("c_name").alias("value"), F.round("c_acctbal").cast("long").alias("number"))
+
+
+@query(f"WITH {TYPES} SELECT key, CASE kind WHEN 'bytes' THEN 'bytes:' || length(value) ELSE kind || ':' || number END AS descriptor FROM ty")
+def scan_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan shows of typed objects: no bulk, only a length or a number."""
+    return fold.descriptors(typed_state(spark, d))
+
+
+@query(f"WITH {ENTRIES} SELECT key, (row_number() OVER (ORDER BY key) - 1) // 40 AS page FROM en QUALIFY row_number() OVER (ORDER BY key) <= 160")
+def scan_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Four pages of 40, each resumed behind the last key of the one before."""
+    return scan.pages(S.entries(spark, d), "order:", 40, 4).select("key", "page")
+
+
+@query("""WITH tg AS (SELECT o_custkey % 6 AS lane, o_orderkey AS asset, CAST(round(o_totalprice) AS BIGINT) AS b FROM orders), cu AS (SELECT *, CAST(sum(b) OVER (PARTITION BY lane ORDER BY asset) AS BIGINT) AS e FROM tg),
+    bt AS (SELECT lane, asset, e - b AS s, e, unnest(range((e - b) // 1000000, (e - 1) // 1000000 + 1)) AS batch FROM cu WHERE b > 0)
+    SELECT lane, CAST(batch AS BIGINT) AS batch, asset, CAST(greatest(s, batch * 1000000) - s AS BIGINT) AS "offset", CAST(least(e, (batch + 1) * 1000000) - greatest(s, batch * 1000000) AS BIGINT) AS bytes FROM bt""")
+def scrub_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Assets checked in batches of a million bytes for each of six lanes, ranges cut where a batch is full."""
+    o = S.table(spark, d, "orders").select((F.col("o_custkey") % 6).alias("lane"), F.col("o_orderkey").alias("asset"), F.round("o_totalprice").cast("long").alias("bytes"))
+    return control.scrub_batches(o, 1_000_000)
+
+
+@query("""WITH fr AS (SELECT l_orderkey AS asset, l_suppkey % 5 AS domain, l_returnflag <> 'R' AS usable FROM lineitem),
+    ag AS (SELECT asset, count(*) AS total, count(*) FILTER (usable) AS usable, greatest(count(DISTINCT domain) FILTER (usable) - 2, 0) AS indep FROM fr GROUP BY ALL),
+    sv AS (SELECT *, least(indep, total - 2) AS survivable FROM ag WHERE total >= 3)
+    SELECT asset, usable, survivable, CASE WHEN usable < 2 THEN 'Unrecoverable' WHEN total - 2 - survivable > 0 OR usable < total THEN CASE WHEN survivable = 0 THEN 'Critical' ELSE 'Degraded' END ELSE 'Healthy' END AS health FROM sv""")
+def redundancy_health(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as assets of as many fragments as lines, two of which are needed, in five failure domains."""
+    line = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset"), (F.col("l_suppkey") % 5).alias("domain"), (F.col("l_returnflag") != "R").alias("usable"))
+    return control.redundancy(line, 2).where("total >= 3").drop("total")
+
+
+@query(None)
+def redundancy_placement(spark: SparkSession, d: str) -> DataFrame:
+    """Six fragments of every part on 20 nodes in 8 racks."""
+    nodes = spark.range(20).selectExpr("id as node", "concat('rack', id % 8) as domain")
+    return control.spread(S.table(spark, d, "part").select(F.col("p_partkey").alias("asset")), nodes, 6)
+
+
+@query("SELECT doc_id AS key, octet_length(encode(text)) AS bytes, sha256(encode(text)) AS digest FROM documents WHERE octet_length(encode(text)) > 0")
+def erasure_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in four fragments and two of parity, reassembled from any four: which two are lost depends on its id."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("value")).where("octet_length(value) > 0")
+    coded = erasure.encode(docs, 4, 2)
+    held = coded.where("fragment <> key % 6 and fragment <> (key div 6) % 6")
+    back = erasure.decode(held, 4, 2)
+    return back.select("key", F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("digest"))

@@ -103,12 +103,19 @@ def splice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("key", "seq", "now_us", op.alias("op"), value.alias("value"), F.lit(None).cast("long").alias("at_us"), F.when(F.col("kind") == "click", F.col("k") % 16).otherwise(F.col("k") % 8).alias("offset"))
 
 
-def semaphore_log(spark: SparkSession, sf_dir: str, groups: int = 20) -> DataFrame:
-    """Clicks acquire k permits under their own id, purchases release the same user's latest asked for."""
-    e = events(spark, sf_dir).where(F.col("kind").isin("click", "purchase"))
-    w = Window.partitionBy("key").orderBy("seq")
-    asked = F.last(F.when(F.col("kind") == "click", F.col("seq")), ignorenulls=True).over(w)
-    return e.select((F.col("key") % groups).alias("key"), "seq", F.when(F.col("kind") == "click", "acquire").otherwise("release").alias("op"), F.coalesce(asked, F.lit(-1)).alias("permit"), F.col("key").alias("owner"), F.col("k").alias("qty"))
+def semaphore_log(spark: SparkSession, sf_dir: str, groups: int = 20, capacity: int = 200) -> DataFrame:
+    """A group's semaphore is created 60 events after its first row, and again at errors; clicks acquire k permits under their own id,
+    every seventh twice, every 14th of those for one permit more; purchases release the same user's latest asked for; views inspect."""
+    e = events(spark, sf_dir).where("kind <> 'signup'")
+    asked = F.last(F.when(F.col("kind") == "click", F.col("seq")), ignorenulls=True).over(Window.partitionBy("key").orderBy("seq"))
+    e = e.withColumns({"asked": F.coalesce(asked, F.lit(-1)), "owner": F.col("key"), "key": F.col("key") % groups})
+    op = F.when(F.col("kind") == "click", "acquire").when(F.col("kind") == "purchase", "release").when(F.col("kind") == "view", "inspect").otherwise("create")
+    qty = F.when(F.col("kind") == "click", F.col("k")).when(F.col("kind") == "error", capacity).cast("long")
+    first = e.groupBy("key").agg(((F.min("seq") + 60) * 3).alias("seq"), F.lit("create").alias("op"), F.lit(capacity).cast("long").alias("qty"))
+    rows = e.select("key", (F.col("seq") * 3 + 1).alias("seq"), op.alias("op"), F.when(F.col("kind").isin("click", "purchase"), F.col("asked")).alias("permit"), "owner", qty.alias("qty"))
+    again = e.where("kind = 'click' and seq % 7 = 0")
+    again = again.select("key", (F.col("seq") * 3 + 2).alias("seq"), F.lit("acquire").alias("op"), F.col("asked").alias("permit"), "owner", (F.col("k") + F.when(F.col("seq") % 14 == 0, 1).otherwise(0)).alias("qty"))
+    return rows.unionByName(again).unionByName(first, allowMissingColumns=True)
 
 
 def stream_log(spark: SparkSession, sf_dir: str, shards: int = 4, keep: int | None = 50) -> DataFrame:
