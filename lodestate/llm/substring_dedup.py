@@ -16,8 +16,8 @@ HOT_SEGMENTS segments is split further: its windows become segments of their own
 each task sends on only its first of equal ones and answers for the rest itself. No automaton then exceeds HOT_SEGMENTS segments.
 
 Defined cases: null or empty text has no words; fewer words than a window: nothing is removed; matches inside one document count
-(the later start goes); rows that repeat a doc_id count as one document each, ordered by text; an empty table gives an empty
-result; `substring_dedup` keeps all other columns of the input.
+(the later start goes); rows that repeat a doc_id or have none count as one document each, ordered by (doc_id, text), nulls last; an
+empty table gives an empty result; `substring_dedup` keeps all other columns of the input, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import keyed, materialize, tune
 from .textops import hash_texts, mix, rolling
 
 WINDOW = 20
@@ -246,16 +246,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return _match(shards, window)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_doc`, which gives their order: doc_id, or where ids repeat or are null a number in the order of (doc_id, text)."""
-    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if odd.isEmpty():
-        return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))  # not nullable: no filter, one exchange
-    return materialize(docs.orderBy("doc_id", "text").withColumn("_doc", F.monotonically_increasing_id()), "numbered")
-
-
 def removals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """rows (of `numbered`) with `_at`: runs (first, n) of the document's repeated windows, null without any."""
+    """rows (of `keyed`) with `_at`: runs (first, n) of the document's repeated windows, null without any."""
     gone = repeated_windows(rows, window).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "n")).alias("_at"))
     return rows.join(gone, "_doc", "left")
 
@@ -271,7 +263,7 @@ def _kept(words: list[bytes], runs: list[dict] | None, window: int) -> np.ndarra
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    rows = removals(numbered(docs.select(F.col("doc_id").cast("long"), "text")), window)
+    rows = removals(keyed(docs.select(F.col("doc_id").cast("long"), "text"))[0], window)
 
     def run(batches):
         import pyarrow as pa
@@ -290,8 +282,9 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns, with the repeated words taken out of `text` (other text stays byte for byte; a document that loses
     words has those left joined by one space; one that loses all of them goes). `n_chars`, if there, follows the text."""
-    rows = removals(numbered(docs), window)
-    schema = docs.schema
+    rows = removals(keyed(docs)[0], window)
+    columns = [c for c in rows.columns if c not in ("_doc", "_at")]
+    schema = rows.select(columns).schema
 
     def run(batches):
         import pyarrow as pa
@@ -310,4 +303,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols["n_chars"] = pa.array([n if not at else len(t) for n, t, at in zip(b["n_chars"].to_pylist(), texts, b["_at"].to_pylist(), strict=True)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(pa.array([not g for g in gone], pa.bool_()))
 
-    return rows.select(*docs.columns, "_at").mapInArrow(run, schema)
+    return rows.select(*columns, "_at").mapInArrow(run, schema).toDF(*docs.columns)

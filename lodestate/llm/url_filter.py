@@ -60,12 +60,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """The longest rule that fits (host columns `host`, `path`), and its verdict; null where none fits."""
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for host, path, says in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    """The longest rule that fits (host columns `host`, `path`), and its verdict; null where none fits. One flat CASE, longest first."""
+    rule = verdict = None
+    for host, path, says in sorted(reversed(rules), key=lambda r: -len(r[0] + r[1])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
-    return rule, verdict
+        rule, verdict = ((F.when if c is None else c.when)(fits, F.lit(v)) for c, v in ((rule, host + path), (verdict, says)))
+    none = F.lit(None).cast("string")
+    return (none, none) if rule is None else (rule, verdict)
 
 
 def _segments() -> Column:
