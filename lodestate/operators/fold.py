@@ -165,37 +165,27 @@ class Lease:
         return status, released, *((None, None) if self.holder is None else self.holder[1:]), self.next
 
 
-class Typed:
-    """Bytes with a version and an expiry stamp: whole writes, splices, expiry edits, reads."""
+class Spliced:
+    """Bytes with a version: whole writes, splices, reads of a range."""
 
     def __init__(self):
-        self.value, self.version, self.expires = None, 0, None
+        self.value, self.version = None, 0
 
-    def apply(self, op: str, now: int, value: str | None, at: int | None, offset: int | None) -> tuple:
-        """applied, version, expires_us, value_hex (both after the operation), read_hex (of a read, else null)."""
-        if self.value is not None and self.expires is not None and now >= self.expires:
-            self.value, self.version, self.expires = None, 0, None
+    def apply(self, op: str, value: str | None, offset: int | None) -> tuple:
+        """applied, version and value_hex after the operation, read_hex (of a read, else null). An empty patch writes too."""
         live, read, applied = self.value is not None, None, True
         if op == "set":
-            self.value, self.version, self.expires = value.encode(), self.version + 1, at
+            self.value, self.version = value.encode(), self.version + 1
         elif op == "delete":
             applied = live
-            self.value, self.version, self.expires = None, 0, None
+            self.value, self.version = None, 0
         elif op == "set_range":
             patch, old = value.encode(), self.value or b""
             self.value, self.version = old[:offset].ljust(offset, b"\0") + patch + old[offset + len(patch) :], self.version + 1
-        elif op == "get_range":
+        else:
             applied = live
             read = self.value[offset : offset + int(value)].hex().upper() if live else None
-        elif op == "expire_at":
-            applied = live
-            if live:
-                self.expires, self.version = at, self.version + 1
-        elif op == "persist":
-            applied = live and self.expires is not None
-            if applied:
-                self.expires, self.version = None, self.version + 1
-        return applied, self.version, self.expires, None if self.value is None else self.value.hex().upper(), read
+        return applied, self.version, None if self.value is None else self.value.hex().upper(), read
 
 
 class Semaphore:
@@ -313,9 +303,37 @@ def ordered_fold(log: DataFrame, machine: type, columns: list[str], results: str
     return rows.mapInArrow(run, f"key long, seq long, {results}")
 
 
-def typed(log: DataFrame) -> DataFrame:
-    """Splices, expiry edits and whole writes: the outcome of every operation."""
-    return ordered_fold(log, Typed, ["op", "now_us", "value", "at_us", "offset"], "applied boolean, version long, expires_us long, value_hex string, read_hex string")
+def expiry_edits(log: DataFrame) -> DataFrame:
+    """key, seq, applied, version, expires_us, value of sets, deletes, expire_at and persist (key, seq, now_us, op, value, at_us; the last
+    four columns as after the operation).
+
+    No fold is needed: between one write and the next an object can only die once, at the first operation whose time has reached the
+    stamp that the operation before it left, and it stays dead. So death is a running maximum, a life starts at a set that finds
+    nothing alive, and the version counts the operations of a life that changed something. All windows are dealt by key."""
+    w = Window.partitionBy("key").orderBy("seq")
+    write = F.col("op").isin("set", "delete")
+    rows = log.withColumns({"segment": F.sum(write.cast("long")).over(w), "stamp": F.when(F.col("op") != "persist", F.col("at_us"))})
+    part = Window.partitionBy("key", "segment").orderBy("seq")
+    rows = rows.withColumns({"held": F.lag("stamp").over(part), "first": F.first("op").over(part)})
+    lapsed = ~write & F.col("held").isNotNull() & (F.col("now_us") >= F.col("held"))
+    dead = F.max(lapsed).over(part) | (F.col("first") == "delete") | (F.col("segment") == 0)
+    rows = rows.withColumn("dead", dead)
+    before = F.lag(F.struct("dead", "stamp")).over(w)
+    alive = before.isNotNull() & ~before["dead"] & (before["stamp"].isNull() | (F.col("now_us") < before["stamp"]))  # just before the operation
+    rows = rows.withColumn("alive", F.coalesce(alive, F.lit(False)))
+    rows = rows.withColumn("life", F.sum(((F.col("op") == "set") & ~F.col("alive")).cast("long")).over(w))
+    applied = F.when(F.col("op") == "set", True).when(F.col("op") == "persist", F.col("alive") & F.col("held").isNotNull()).otherwise(F.col("alive"))
+    rows = rows.withColumn("applied", applied)
+    counted = F.sum((F.col("applied") & (F.col("op") != "delete")).cast("long")).over(Window.partitionBy("key", "life").orderBy("seq"))
+    value = F.first("value").over(part)
+    rows = rows.withColumns({"counted": counted, "written": value})
+    here = lambda c: F.when(~F.col("dead"), F.col(c))
+    return rows.select("key", "seq", "applied", F.coalesce(here("counted"), F.lit(0)).alias("version"), here("stamp").alias("expires_us"), here("written").alias("value"))
+
+
+def splices(log: DataFrame) -> DataFrame:
+    """Splices, whole writes and reads of ranges: the outcome of every operation."""
+    return ordered_fold(log, Spliced, ["op", "value", "offset"], "applied boolean, version long, value_hex string, read_hex string")
 
 
 def semaphores(log: DataFrame) -> DataFrame:

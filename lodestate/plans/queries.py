@@ -81,12 +81,12 @@ def counter_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def expiry_edits(spark: SparkSession, d: str) -> DataFrame:
-    return fold.typed(S.expiry_log(spark, d)).drop("read_hex")
+    return fold.expiry_edits(S.expiry_log(spark, d)).select("key", "seq", "applied", "version", "expires_us", F.hex(F.encode("value", "UTF-8")).alias("value_hex"))
 
 
 @query
 def bytes_splice(spark: SparkSession, d: str) -> DataFrame:
-    return fold.typed(S.splice_log(spark, d)).drop("expires_us")
+    return fold.splices(S.splice_log(spark, d))
 
 
 @query
@@ -226,6 +226,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def txn_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Every batch against one snapshot, as concurrent batches see it; `txn_serial` runs them one after another."""
     return txn.outcomes(batches(spark, d), parts(spark, d))
 
 

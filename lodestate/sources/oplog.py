@@ -92,7 +92,7 @@ def expiry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     op = F.when(F.col("kind").isin("signup", "purchase"), "set").when(F.col("kind") == "error", "delete").when(F.col("kind") == "click", "expire_at").otherwise("persist")
     at = F.when(F.col("kind") == "signup", F.col("now_us") + F.col("k") * HOUR_US).when(F.col("kind") == "click", F.col("now_us") + F.col("k") * MINUTE_US)
-    return e.select("key", "seq", "now_us", op.alias("op"), F.col("cents").cast("string").alias("value"), at.alias("at_us"), F.lit(None).cast("long").alias("offset"))
+    return e.select("key", "seq", "now_us", op.alias("op"), F.col("cents").cast("string").alias("value"), at.alias("at_us"))
 
 
 def splice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def splice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).where("kind <> 'purchase'")
     op = F.when(F.col("kind") == "signup", "set").when(F.col("kind") == "error", "delete").when(F.col("kind") == "click", "set_range").otherwise("get_range")
     value = F.when(F.col("kind") == "signup", F.col("cents").cast("string")).when(F.col("kind") == "click", F.lpad((F.col("seq") % 100).cast("string"), 2, "0")).otherwise("4")
-    return e.select("key", "seq", "now_us", op.alias("op"), value.alias("value"), F.lit(None).cast("long").alias("at_us"), F.when(F.col("kind") == "click", F.col("k") % 16).otherwise(F.col("k") % 8).alias("offset"))
+    return e.select("key", "seq", "now_us", op.alias("op"), value.alias("value"), F.when(F.col("kind") == "click", F.col("k") % 16).otherwise(F.col("k") % 8).alias("offset"))
 
 
 def semaphore_log(spark: SparkSession, sf_dir: str, groups: int = 20, capacity: int = 200) -> DataFrame:
