@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestate.operators import control, directory, erasure, fold, scan, storage
-from lodestate.plans.oracles import ENTRIES, EVENTS, WRITES
+from lodestate.plans.oracles import BOUNDED, ENTRIES, EVENTS, WRITES
 from lodestate.sources import oplog as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -269,3 +269,31 @@ def erasure_round_trip(spark: SparkSession, d: str) -> DataFrame:
     held = coded.where("fragment <> key % 6 and fragment <> (key div 6) % 6")
     back = erasure.decode(held, 4, 2)
     return back.select("key", F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("digest"))
+
+
+ORACLE_SQL["stream_outcomes"] = recursion(
+    """SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM (
+        SELECT user_id % 4 AS key, event_id * 3 + 2 AS id, 'append' AS op, greatest(length(CAST(user_id AS VARCHAR)), coalesce(octet_length(encode(props)), 0)) AS size FROM events
+        UNION ALL SELECT user_id % 4, min(event_id) * 3, 'create', 0 FROM events GROUP BY user_id % 4
+        UNION ALL SELECT user_id % 4, min(event_id) * 3 + 1, 'trim', 0 FROM events GROUP BY user_id % 4, epoch_us(ts) // 3600000000)""",
+    "sq, what, status, off, gone, fst, nxt",
+    "CAST(-1 AS BIGINT), '', '', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT)",
+    "op = 'append' AND fst IS NOT NULL AND size <= 65536 AND nxt - fst < 1024 AS takes, least(greatest(fst, nxt - 49), nxt) AS kept",
+    """id, op, CASE WHEN op = 'append' AND fst IS NULL THEN 'NotFound' WHEN op = 'append' AND NOT takes THEN 'StreamFull' WHEN op = 'create' AND fst IS NOT NULL THEN 'WrongType' ELSE 'Ok' END,
+        CASE WHEN takes THEN nxt END, CASE WHEN op = 'trim' THEN coalesce(kept - fst, 0) END, CASE WHEN op = 'create' THEN coalesce(fst, 0) WHEN op = 'trim' THEN kept ELSE fst END, CASE WHEN takes THEN nxt + 1 ELSE nxt END""",
+    'SELECT key AS shard, sq // 3 AS seq, what AS op, status, off AS "offset", gone AS removed, nxt AS next_offset, nxt - coalesce(fst, nxt) AS retained FROM f WHERE n > 0',
+)
+ORACLE_SQL["session_outcomes"] = recursion(
+    """SELECT key, row_number() OVER (PARTITION BY key ORDER BY id) AS n, id, request, greatest(request - 8, 0) AS ack FROM (
+        WITH rq AS (SELECT key % 40 AS key, seq, row_number() OVER (PARTITION BY key % 40 ORDER BY seq) AS request FROM ev WHERE kind IN ('click', 'purchase', 'error'))
+        SELECT key, request, request * 2 AS id FROM rq UNION ALL SELECT key, request, (request + CASE WHEN seq % 2 = 1 THEN 0 ELSE 12 END) * 2 + 1 FROM rq WHERE seq % 11 = 0)""",
+    "sq, status, answered, low, held",
+    "CAST(-1 AS BIGINT), '', CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(r BIGINT, s BIGINT)[])",
+    "request <= greatest(low, ack) AS late, list_filter(held, lambda x: x.r = request) AS hit, request > greatest(low, ack) AND len(list_filter(held, lambda x: x.r = request)) = 0 AND len(held) < 1024 AS runs",
+    """id, CASE WHEN late THEN 'Expired' WHEN len(hit) > 0 THEN 'Replay' WHEN runs THEN 'Ok' ELSE 'Overloaded' END, CASE WHEN NOT late AND len(hit) > 0 THEN hit[1].s WHEN runs THEN id END,
+        CASE WHEN runs THEN greatest(low, ack) ELSE low END, CASE WHEN runs THEN list_append(list_filter(held, lambda x: x.r > greatest(low, ack)), {'r': request, 's': id}) ELSE held END""",
+    "SELECT key AS session, sq AS seq, status, answered, low AS floor FROM f WHERE n > 0",
+)
+ORACLE_SQL["escrow_outcomes"] = f"""WITH RECURSIVE {BOUNDED.replace("0 AND 500", "0 AND 400")} SELECT a.key AS donor, b.key AS recipient, CASE WHEN 400 - g < 0 OR a.value > 400 - g THEN 'Conflict' WHEN 400 + g > 500 THEN 'InvalidWrite' ELSE 'Ok' END AS status,
+    CASE WHEN 400 - g >= a.value AND 400 + g <= 500 THEN 400 - g ELSE 400 END AS donor_max, CASE WHEN 400 - g >= a.value AND 400 + g <= 500 THEN 400 + g ELSE 400 END AS recipient_max
+    FROM (SELECT *, (key + 1) * 50 AS g FROM bv) a JOIN bv b ON b.key = (a.key + 1) % 10"""
