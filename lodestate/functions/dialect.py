@@ -66,8 +66,8 @@ def bits_of_hex(digits: Column) -> Column:
     return F.array_join(F.transform(places, lambda i: F.lpad(F.conv(F.substring(digits, i, F.lit(1)), 16, 2), 4, "0")), "")
 
 
-#: Fixed value: the first bytes of every index key, in hex.
-INDEX_TAG = "4B4956492D49445831"
+#: The first bytes of every index key, in hex: no user's key begins so.
+INDEX_TAG = b"LODE-IDX1".hex().upper()
 
 
 def _pairs(digits: Column) -> Column:

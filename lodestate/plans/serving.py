@@ -27,7 +27,7 @@ def query(sql: str | None):
 
 
 KEYS = """ik AS (SELECT o_orderkey, replace(o_orderpriority, '-', chr(0)) AS term, printf('order:%d', o_orderkey) AS prim FROM orders),
-    ih AS (SELECT *, '4B4956492D49445831' || printf('%016X', 2) || '00' || replace(replace(regexp_replace(hex(encode(term)), '(..)', '\\1 ', 'g'), '00 ', '00 FF '), ' ', '') || '00' AS prefix FROM ik)"""
+    ih AS (SELECT *, hex(encode('LODE-IDX1')) || printf('%016X', 2) || '00' || replace(replace(regexp_replace(hex(encode(term)), '(..)', '\\1 ', 'g'), '00 ', '00 FF '), ' ', '') || '00' AS prefix FROM ik)"""
 
 
 @query(f"WITH {KEYS} SELECT o_orderkey, prefix || hex(encode(prim)) || '00' AS entry, prefix, left(prefix, length(prefix) - 2) || '01' AS successor FROM ih")
@@ -39,7 +39,7 @@ def index_entry_keys(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", D.index_key(F.lit(2), term, F.format_string("order:%d", "o_orderkey")).alias("entry"), prefix.alias("prefix"), D.prefix_successor(prefix).alias("successor"))
 
 
-@query(f"""WITH {KEYS}, wd AS (SELECT o_orderkey, prefix AS a, CASE o_orderkey % 4 WHEN 0 THEN left(prefix, length(prefix) - 2) || '01' WHEN 1 THEN prefix || hex(encode(prim)) || '00' WHEN 2 THEN '4B4956492D49445831' || printf('%016X', 2) || '00' || hex(encode('4-ZZ')) || '00' ELSE 'FF' END AS b FROM ih)
+@query(f"""WITH {KEYS}, wd AS (SELECT o_orderkey, prefix AS a, CASE o_orderkey % 4 WHEN 0 THEN left(prefix, length(prefix) - 2) || '01' WHEN 1 THEN prefix || hex(encode(prim)) || '00' WHEN 2 THEN hex(encode('LODE-IDX1')) || printf('%016X', 2) || '00' || hex(encode('4-ZZ')) || '00' ELSE 'FF' END AS b FROM ih)
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'TermWindow' WHEN 2 THEN CASE WHEN a < b THEN 'TermRange' ELSE 'Scan' END ELSE 'Scan' END AS kind FROM wd""")
 def index_windows(spark: SparkSession, d: str) -> DataFrame:
     """What scans between such keys ask the index for: a term, a range of terms, or just keys."""
