@@ -19,3 +19,33 @@ def windowed_rates(stream: DataFrame, width: str = "1 hour", delay: str = "10 mi
 def latest_state(stream: DataFrame) -> DataFrame:
     """Last write of each key, in update mode: state is one row per key."""
     return stream.groupBy("key").agg(F.max_by(F.struct("op", "value", "expires_us"), "seq").alias("last"))
+
+
+def machine_fold(stream: DataFrame, machine: type, columns: list[str], results: str) -> DataFrame:
+    """`ordered_fold` over a stream: key, seq and the results of every operation, applied in order of seq to the machine that each key
+    keeps between micro-batches. A key's operations must come in order from batch to batch; inside one they are sorted. The state
+    store holds one pickled machine a key, so what a machine holds must be bounded (as streams, sessions and sketches are)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    names = [r.split()[0] for r in results.split(", ")]
+    kinds = {"long": "Int64", "boolean": "boolean", "string": "object"}
+    types = {r.split()[0]: kinds[r.split()[1]] for r in results.split(", ")}
+
+    def run(key: tuple, batches, state: GroupState):
+        import pickle
+
+        held = pickle.loads(state.get[0]) if state.exists else machine()
+        rows = pd.concat(list(batches)).sort_values("seq")
+        plain = [[None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in rows[c]] for c in columns]
+        if any(rows[c].dtype.kind == "f" for c in columns):  # whole numbers that pandas made floats of to hold nulls
+            plain = [[int(v) if isinstance(v, float) else v for v in values] for values in plain]
+        found = [held.apply(*arguments) for arguments in zip(*plain, strict=True)]
+        state.update((pickle.dumps(held),))
+        out = pd.DataFrame(found, columns=names).astype(types)
+        out.insert(0, "key", key[0])
+        out.insert(1, "seq", rows["seq"].to_numpy())
+        yield out
+
+    wanted = stream.select("key", "seq", *columns).groupBy("key")
+    return wanted.applyInPandasWithState(run, f"key long, seq long, {results}", "machine binary", "append", GroupStateTimeout.NoTimeout)
