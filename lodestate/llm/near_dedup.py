@@ -15,11 +15,15 @@ between components is lost but by the miss probabilities (a pair of similarity 0
 Scale: signatures and texts move only for documents in buckets with two members or more; buckets stream through a task sorted
 by key. A hot centre's comparisons are dealt in blocks of CENTRE_BLOCK members, and those of the later rounds in blocks
 of BLOCK_SETS documents against the union of their candidates, so no row is ever made for each pair of a group. Signatures
-of a bucket are compared in blocks of PROPOSERS members, each in its own task. Components come from alternating
-minimum-label steps over verified links, in DataFrame joins.
+of a bucket are compared in blocks of PROPOSERS proposing by MEMBERS other members, each in its own task. Components come from
+alternating minimum-label steps over verified links, in DataFrame joins.
+
+Sets are compared by 64-bit hashes of their shingles (a polynomial over word hashes, scrambled): two different shingles of a pair
+of documents with s shingles in all share one with probability s^2 / 2^65, 3e-12 for texts of 10,000 words.
 
 Defined cases: null or empty text has an empty set and no link; fewer words than a shingle: the whole sequence is one shingle;
-rows that repeat a doc_id share its result (first by text); an empty table gives an empty result; extra columns are untouched.
+rows that repeat a doc_id, or have none, are documents of their own, in the order of (doc_id, text), nulls last; component_id is the
+doc_id of a component's first row, which alone is kept; an empty table gives an empty result; extra columns are untouched.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import discard, join_groups, keyed, materialize, tune
 from .textops import hash_texts, mix, rolling
 
 SHINGLE_WORDS = 5
@@ -41,10 +45,11 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-7
 CENTRE_BLOCK = 512
-#: A block of later comparisons: sets held at once, and candidate pairs.
-BLOCK_SETS, BLOCK_PAIRS = 256, 200_000
-#: Signatures held by a task that looks for candidates across components: proposing members, and members streamed past them.
-PROPOSERS, MET = 4096, 8192
+#: A block of later comparisons: sets held at once, and texts of one candidate list that stream past them.
+BLOCK_SETS, BLOCK_TEXTS = 128, 256
+#: Members of a bucket dealt to a task that looks for candidates across components: proposing ones and others, and how many of the
+#: others are compared at once.
+PROPOSERS, MEMBERS, MET = 4096, 1024, 8192
 #: Shingles hashed at once for a signature.
 BLOCK = 4096
 
@@ -162,29 +167,34 @@ def components(links: DataFrame) -> DataFrame:
     labels themselves (pointer jumping), so long chains end after logarithmically many rounds."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "doc_id"), "labels")
+    held = labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "doc_id"), "labels")
     while True:
         near = both.join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         step = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         step = materialize(step, "step")
         up = step.select(F.col("doc_id").alias("label"), F.col("label").alias("up"))
         after = step.join(up, "label", "left").select("doc_id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        after = materialize(after, "labels")
-        labels = after.select("doc_id", "label")
-        if after.where("label <> old").isEmpty():
+        spread = materialize(after, "labels")
+        discard(held, step)
+        held, labels = spread, spread.select("doc_id", "label")
+        if spread.where("label <> old").isEmpty():
+            discard(both)
             return labels
 
 
 def _across(named: DataFrame, sigs: DataFrame, best_only: bool) -> DataFrame:
     """u, its surviving candidates vs in other components of a bucket, and the bucket's smallest id as home, from the buckets
     (key, doc_id, label) that hold several components. The bucket's largest component proposes nothing: its pairs come up from
-    the others. best_only: each member's best candidate. A bucket's proposing members are dealt into blocks; a task holds the
-    signatures of one block and streams the bucket's members past it, so its memory does not grow with the bucket."""
+    the others. best_only: each member's best candidate in each part of the bucket. A bucket's proposing members are dealt into
+    blocks and its members into parts; a task holds the signatures of one block and streams one part past it, so neither its memory
+    nor its rows grow with the bucket."""
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.expr(f"ceil((sum(n) - max(n)) / {PROPOSERS})").alias("blocks"), F.min("least").alias("home"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.expr(f"ceil((sum(n) - max(n)) / {PROPOSERS})").alias("blocks"), F.expr(f"ceil(sum(n) / {MEMBERS})").alias("parts"), F.min("least").alias("home"))
     rows = named.join(mixed.where("labels > 1").drop("labels"), "key").join(sigs, "doc_id")
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("side")))
-    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), F.lit(0).alias("side")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block, part = (F.pmod(F.xxhash64("doc_id", F.lit(n)), F.col(n)) for n in ("blocks", "parts"))  # tasks are block + blocks * part
+    met = F.transform(upto("blocks"), lambda b: F.struct((b + F.col("blocks") * part).alias("block"), F.lit(1).alias("side")))
+    own = F.transform(upto("parts"), lambda p: F.struct((block + F.col("blocks") * p).alias("block"), F.lit(0).alias("side")))
     rows = rows.withColumn("place", F.explode(F.when(F.col("label") != F.col("largest"), F.concat(own, met)).otherwise(met)))
     rows = rows.select("key", "place.block", "place.side", "doc_id", "label", "largest", "home", "sig")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "side", "doc_id")
@@ -238,14 +248,19 @@ def _across(named: DataFrame, sigs: DataFrame, best_only: bool) -> DataFrame:
 
 
 def verify_blocks(proposed: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Of proposals (u, vs, home), the pairs (a, b) whose full sets reach the threshold. Documents of one home are dealt into
-    blocks that hold the sets of a few hundred u; the text of a v goes to a block once, however many u it is compared with."""
+    """Of proposals (u, vs, home), the pairs (a, b) whose full sets reach the threshold. Documents of one home are dealt into blocks that
+    hold the sets of a few hundred u, and the vs of a block into parts, each block and part in its own task; the text of a v goes to a
+    task once, however many u it is compared with."""
     each = proposed.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("vs"), F.min("home").alias("home"))
     each = materialize(each, "each")
-    loads = each.groupBy("home").agg(F.expr(f"greatest(ceil(sum(size(vs)) / {BLOCK_PAIRS}), ceil(count(*) / {BLOCK_SETS}))").alias("blocks"))
-    each = each.join(loads, "home").select("home", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block"), "u", "vs")
-    own = each.select("home", "block", F.col("u").alias("doc_id"), "vs")
-    other = each.groupBy("home", "block").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("all"))
+    loads = each.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.expr(f"ceil(count(*) / {BLOCK_SETS})").alias("blocks"), F.expr(f"ceil(max(size(vs)) / {BLOCK_TEXTS})").alias("parts"))
+    each = join_groups(each, materialize(loads, "loads"), ["home"], "n", each.count())
+    part_of = lambda v: F.pmod(F.xxhash64(v), F.col("parts"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.filter("vs", lambda v: part_of(v) == p).alias("vs")))
+    dealt = each.select("home", "u", "blocks", F.explode(F.filter(parts, lambda x: F.size(x["vs"]) > 0)).alias("p"))
+    dealt = dealt.select("home", (F.pmod(F.xxhash64("u"), F.col("blocks")) + F.col("blocks") * F.col("p.part")).alias("block"), "u", F.col("p.vs").alias("vs"))
+    own = dealt.select("home", "block", F.col("u").alias("doc_id"), "vs")
+    other = dealt.groupBy("home", "block").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("all"))
     other = other.select("home", "block", F.explode("all").alias("doc_id"), F.lit(None).cast("array<long>").alias("vs"))
     rows = own.unionByName(other).join(docs, "doc_id").withColumn("side", F.col("vs").isNull().cast("int"))
     rows = rows.repartition("home", "block").sortWithinPartitions("home", "block", "side", "doc_id").select("home", "block", "side", "doc_id", "vs", "text")
@@ -279,10 +294,22 @@ def verify_blocks(proposed: DataFrame, docs: DataFrame, words: int, threshold: i
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, renumbered = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    found = grouped(rows, words, threshold)
+    if not renumbered:
+        return found
+    own = rows.select(F.col("_doc").alias("row"), F.col("doc_id").alias("own_id"))
+    first = own.select(F.col("row").alias("first_row"), F.col("own_id").alias("first_id"))
+    found = found.join(own, F.col("doc_id") == F.col("row")).join(first, F.col("component_id") == F.col("first_row"))
+    return found.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("first_id").alias("component_id"), "kept")
+
+
+def grouped(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """near_duplicates of rows with a `_doc` each, which stands for doc_id in the result."""
+    texts = rows.select(F.col("_doc").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = materialize(profiles(texts, words), "profiles")
-    sets = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(sets, (known["doc_id"] == sets["rep"]) & (known["set_key"] == sets["set_key"]), "left_semi").dropDuplicates(["doc_id"])
+    sets = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = known.join(sets, (known["doc_id"] == sets["rep"]) & (known["set_key"] == sets["set_key"]), "left_semi")
     reps = materialize(reps.select("doc_id", "sig", "bands"), "reps")
     banded = reps.select(F.explode("bands").alias("key"), "doc_id")
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -312,23 +339,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
 
     tested = materialize(star.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"), "star")
     links = materialize(verify(tested, one_text, words, threshold), "links")
+    labels, used = components(links), [tested, one_text, members, reps, links]
     for best_only in (True, False):
-        labels = components(links)
         named = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         proposed = materialize(_across(named, sigs, best_only), "proposed")
+        used.append(proposed)
         if proposed.isEmpty():
             break
         links = materialize(links.unionByName(verify_blocks(proposed, one_text, words, threshold)), "links")
-    else:
+        used.append(links)
         labels = components(links)
+    discard(*used)
 
-    of_set = sets.join(labels, sets["rep"] == labels["doc_id"], "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
-    return known.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.expr("doc_id <=> component_id"))
+    of_set = sets.join(labels, sets["rep"] == labels["doc_id"], "left").select("set_key", "copies", F.coalesce("label", "rep").alias("component_id"))
+    found = join_groups(known.select("doc_id", "n_shingles", "set_key"), materialize(of_set, "sets"), ["set_key"], "copies", known.count(), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each component."""
-    gone = near_duplicates(docs, words, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: one row of each component."""
+    rows, _ = keyed(docs)
+    gone = grouped(rows, words, threshold).where("not kept").select(F.col("doc_id").alias("_doc"))
+    return rows.join(gone, "_doc", "left_anti").drop("_doc").toDF(*docs.columns)
