@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe_segment, chat_format, exact_dedup, language_id, near_dedup, packing, substring_dedup, token_store, url_filter
 from .common import table
 
-#: Folder of the public vocabulary files; a parameter, they are never copied.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a public vocabulary file lies; operators take the place as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

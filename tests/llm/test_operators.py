@@ -125,9 +125,9 @@ def test_near_dedup_chains(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 4).collect()} == {d: c for d, (_, c) in brute_components(rows, 4).items()}
 
 
-@pytest.mark.parametrize("hot", [3, 1000])
-def test_substring_dedup(docs, corpus, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
+@pytest.mark.parametrize("large", [3, 1000])
+def test_substring_dedup(docs, corpus, large, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", large)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.digests(docs).collect()}
     assert got == brute_windows(corpus)
     kept = substring_dedup.substring_dedup(docs)
