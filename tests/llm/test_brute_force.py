@@ -210,15 +210,15 @@ def test_audio_equals_plain_transform(monkeypatch):
 # Packing
 
 
-def plain_packing(lengths, capacity):
-    """What the bins hold when every open one is tried for every piece, longest first: where is the sum of squared counts of bins by
+def plain_packing(lengths, capacity, order):
+    """What the bins hold when every open one is tried for every piece in order: where is the sum of squared counts of bins by
     gap smallest? Which of two bins with the same gap is taken does not matter to that."""
     gaps, bins = [], []
 
     def squares(of):
         return sum(n * n for g, n in collections.Counter(of).items() if g)
 
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    for i in order:
         size, best = lengths[i], None
         for b, gap in enumerate([*gaps, capacity]):
             if gap >= size:
@@ -240,12 +240,16 @@ def test_packing_equals_plain_choice():
     for capacity in (12, 40):
         for _ in range(40):
             lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 40))]
-            number, offset = packing.pack_lengths(lengths, capacity)
-            bins = collections.defaultdict(list)
-            for b, o, n in sorted(zip(number.tolist(), offset.tolist(), lengths, strict=True)):
-                assert o == sum(bins[b])
-                bins[b].append(n)
-            assert sorted(map(sum, bins.values())) == plain_packing(lengths, capacity)
+            known = np.array(lengths, np.int64)
+            tried = [(o, *packing.pack_in_order(known, o, capacity)) for o in packing.orders(known, capacity)]
+            best = packing.pack_lengths(lengths, capacity)
+            assert best[0].max() == min(n.max() for _, n, _ in tried)
+            for order, number, offset in tried:
+                bins = collections.defaultdict(list)
+                for b, o, n in sorted(zip(number.tolist(), offset.tolist(), lengths, strict=True)):
+                    assert o == sum(bins[b])
+                    bins[b].append(n)
+                assert sorted(map(sum, bins.values())) == plain_packing(lengths, capacity, order.tolist())
 
 
 def plain_pieces(texts, capacity):
