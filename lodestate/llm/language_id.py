@@ -10,8 +10,8 @@ such texts that score is unknown and no score is rejected. `accepted` is false f
 for texts without a letter.
 
 The model is fitted and calibrated on at most `SAMPLE_DOCS` labelled documents, those of the smallest row hash in the whole table
-(equal rows count once): a documented bound of the training only. Their whole texts are read where they lie; only counts by bucket
-come to the driver. Predictions read every whole text.
+(equal rows count once): a documented bound of the training only. Their whole texts are read where they lie; only their buckets' shares come to the driver, 6 bytes
+for each bucket that a text has, 200 kB a text at most. Predictions read every whole text.
 
 Defined cases: null text or one without a letter (Unicode's L) is `und` with score 0; without a labelled row every text is `und`;
 of equally likely classes the first by name is predicted; equal texts get equal results; a text of any length is summed block by
@@ -80,14 +80,19 @@ def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.uint16), count[ids]
 
 
+def shares(count: np.ndarray) -> np.ndarray:
+    return (count / max(1, count.sum())).astype(np.float32)
+
+
 def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7) -> LanguageModel:
-    """Fit by stochastic gradient descent on four fifths of the texts (their `bucket_counts`), calibrate on the rest."""
+    """Fit by stochastic gradient descent on four fifths of the texts (their `bucket_counts`, or float32 `shares` instead of the counts),
+    calibrate on the rest."""
     classes = sorted(set(langs))
     empty = LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     if not classes:
         return empty
     rng = np.random.default_rng(seed)
-    x = [(i, (c / max(1, c.sum())).astype(np.float32)) for i, c in counts]
+    x = [(i, c if c.dtype == np.float32 else shares(c)) for i, c in counts]
     y = np.array([classes.index(v) for v in langs])
     order = rng.permutation(len(x))
     held = order[: len(x) // 5]
@@ -144,13 +149,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
 
         for b in batches:
             found = [bucket_counts(t) for t in b["text"].to_pylist()]
-            ids, n = (pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))
+            ids, n = pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([shares(f[1]).tobytes() for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], ids, n], names=["doc_id", "lang", "ids", "n"])
 
     rows = bounded_sample(usable.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), sample_docs)
     rows = rows.mapInArrow(run, "doc_id long, lang string, ids binary, n binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["ids"], r["n"], r["lang"]))
-    return train([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["n"], np.int64)) for r in rows], [r["lang"] for r in rows])
+    return train([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["n"], np.float32)) for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -11,10 +11,9 @@ Consecutive windows with the same minimizer occurrence form a segment (their tex
    with the segment's new windows. Windows found are repeated ones.
 
 The named method broadcasts automata of reference shards. Here the reference is the whole corpus, whose size no bound holds, so
-instead of sending every automaton to every document, segments go to the one shard that can match them. A shard of more than
-SHARD_SEGMENTS segments is dealt again, by minimizers among longer runs of words: those of the windows of its segments make
-smaller segments, up to runs as long as a window, when a shard is the copies of one window. A task sends on only the first of
-equal segments of a batch of documents and answers for the rest itself, so a hot passage does not meet in one task either.
+instead of sending every automaton to every document, segments go to the one shard that can match them. A minimizer with more than
+HOT_SEGMENTS segments is split further: its windows become segments of their own, dealt by the hash of the whole window, and
+each task sends on only its first of equal ones and answers for the rest itself. No automaton then exceeds HOT_SEGMENTS segments.
 
 Defined cases: null or empty text has no words; fewer words than a window: nothing is removed; matches inside one document count
 (the later start goes); rows that repeat a doc_id or have none count as one document each, ordered by (doc_id, text), nulls last; an
@@ -23,7 +22,6 @@ empty table gives an empty result; `substring_dedup` keeps all other columns of
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from itertools import compress
@@ -36,9 +34,8 @@ from .common import keyed, materialize, tune
 from .textops import hash_texts, mix, rolling
 
 WINDOW = 20
-#: Words of a run that windows are dealt by: the first is for all segments, the others (up to a whole window) for those of large shards.
-ANCHOR_WORDS, LONGER_ANCHORS = 4, (8, 14)
-SHARD_SEGMENTS = 1000
+ANCHOR_WORDS = 4
+HOT_SEGMENTS = 1000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -101,11 +98,11 @@ class SuffixAutomaton:
         return out
 
 
-def segments(hashes: np.ndarray, window: int, anchor: int = ANCHOR_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, first and last window of each segment of a document, from its word hashes; and whether the minimizer
     occurs more than once in the document, so that one segment may hold equal windows."""
-    anchors = rolling(hashes, anchor)
-    span = window - anchor + 1
+    anchors = rolling(hashes, ANCHOR_WORDS)
+    span = window - ANCHOR_WORDS + 1
     n = len(anchors) - span + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
@@ -148,29 +145,6 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, doc long, first int, last int, twice boolean")
 
 
-def _refined(rows: DataFrame, wanted: DataFrame, window: int, anchor: int) -> DataFrame:
-    """key, doc, first, last, twice of the smaller segments that longer anchors make of the wanted ones; a key also depends on that of
-    the segment it was cut from."""
-    rows = rows.join(wanted, "_doc").select("_doc", "text", "wanted")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = [[], [], [], [], []]
-            for d, h, wanted in zip(b["_doc"].to_pylist(), hash_texts([(t or "").encode() for t in b["text"].to_pylist()]), b["wanted"].to_pylist(), strict=True):
-                for s in wanted:
-                    key, first, last, twice = segments(h[s["first"] : s["last"] + window], window, anchor)
-                    key = mix(key + np.uint64(s["key"] & 0xFFFFFFFFFFFFFFFF))
-                    for column, found in zip(out, (key.view(np.int64), np.full(len(key), d), first + s["first"], last + s["first"], twice), strict=True):
-                        column.append(found)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            columns = [pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "first", "last", "twice"])
-
-    return rows.mapInArrow(run, "key long, doc long, first int, last int, twice boolean")
-
-
 SEGMENT = "key long, doc long, first int, words binary, found int"
 
 
@@ -186,8 +160,8 @@ def _runs(at: list[int]) -> list[tuple[int, int]]:
 
 
 def _with_texts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted segments. Of equal segments in a batch only the first goes on, the others come out as found: `found`
-    windows from `first` on, dealt by document."""
+    """The words of the wanted segments. Hot ones become single windows; of equal windows in a batch only the first goes on, the
+    others come out as found: `found` of them from `first` on."""
     rows = rows.join(wanted, "_doc").select(*rows.columns, "wanted")  # all columns, so that the final join reuses this exchange
 
     def run(batches):
@@ -195,15 +169,25 @@ def _with_texts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             key, doc, first, text, found = [], [], [], [], []
-            seen: set[tuple[int, bytes]] = set()
+            seen: set[bytes] = set()
             for d, t, wanted in sorted(zip(*(b[c].to_pylist() for c in ("_doc", "text", "wanted")), strict=True), key=lambda r: r[0]):
                 words = _WORD.findall((t or "").encode())
                 for s in sorted(wanted, key=lambda s: s["first"]):
-                    own = b" ".join(words[s["first"] : s["last"] + window])
-                    again = (s["key"], own) in seen
-                    seen.add((s["key"], own))
-                    key.append(d if again else s["key"]), doc.append(d), first.append(s["first"])
-                    text.append(b"" if again else own), found.append(s["last"] - s["first"] + 1 if again else 0)
+                    if not s["hot"]:
+                        key.append(s["key"]), doc.append(d), first.append(s["first"]), found.append(0)
+                        text.append(b" ".join(words[s["first"] : s["last"] + window]))
+                        continue
+                    again = []
+                    for at in range(s["first"], s["last"] + 1):
+                        own = b" ".join(words[at : at + window])
+                        if own in seen:
+                            again.append(at)
+                            continue
+                        seen.add(own)
+                        key.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
+                        doc.append(d), first.append(at), text.append(own), found.append(0)
+                    for at, n in _runs(again):
+                        key.append(d), doc.append(d), first.append(at), text.append(b""), found.append(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(text, pa.binary()), pa.array(found, pa.int32())],
                 names=["key", "doc", "first", "words", "found"],
@@ -254,19 +238,10 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, first, n): the windows of rows (`_doc`, which ascends in the order of precedence, text) that also start earlier."""
     tune(rows.sparkSession)
     texts = rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    current, fitting = materialize(_occurrences(texts, window), "segments"), []
-    listed = lambda some: some.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("key", "first", "last")).alias("wanted"))
-    for anchor in (*LONGER_ANCHORS, window, None):
-        often = current.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("inside")).where("n > 1 or inside")
-        often = materialize(often.select("key", "n"), "often")
-        large = often.where(F.col("n") > SHARD_SEGMENTS)
-        if anchor is None or large.isEmpty():
-            fitting.append(current.join(often, "key").select("doc", "key", "first", "last"))
-            break
-        fitting.append(current.join(often.where(F.col("n") <= SHARD_SEGMENTS), "key").select("doc", "key", "first", "last"))
-        hot = current.join(large, "key").select("doc", "key", "first", "last")
-        current = materialize(_refined(rows, listed(hot), window, anchor), "segments")
-    wanted = listed(functools.reduce(DataFrame.unionByName, fitting))
+    all_of = materialize(_occurrences(texts, window), "segments")
+    often = all_of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("inside")).where("n > 1 or inside")
+    some = all_of.join(often, "key").select("doc", "key", "first", "last", (F.col("n") > HOT_SEGMENTS).alias("hot"))
+    wanted = some.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("key", "first", "last", "hot")).alias("wanted"))
     shards = _with_texts(rows, wanted, window).repartition("key").sortWithinPartitions("key", "doc", "first")
     return _match(shards, window)
 
