@@ -62,8 +62,8 @@ def discard(*frames: DataFrame) -> None:
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     """docs with `_doc`, a number of each row in the order of doc_id: doc_id itself, or where ids repeat or are null a row number in
-    the order of (doc_id, text), nulls last; and whether it is a row number. All columns but doc_id, text and n_chars get neutral names, so that no name of a
-    caller's column meets one of an operator's; `docs.columns` are their names again after toDF."""
+    the order of (doc_id, text), nulls last; and whether it is a row number. All columns but doc_id, text and n_chars get neutral names,
+    so that no name of a caller's column meets one of an operator's; toDF(*docs.columns) gives theirs back."""
     named = docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"column{i}" for i, c in enumerate(docs.columns)))
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
@@ -73,9 +73,8 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
-    """rows joined with groups, which have one row for each key and in `size` the number of
-    rows with that key, of `total`. Groups with one in `heavy` rows or more, at most `heavy` of them, are broadcast, so that no hot
-    key shuffles; the others join by key."""
+    """rows joined with groups, which have one row for each key and in `size` the number of rows with that key, of `total`. Groups with
+    one in `heavy` rows or more, at most `heavy` of them, are broadcast, so that no hot key shuffles; the others join by key."""
     large = F.broadcast(groups.where(F.col(size) * heavy >= total))
     small = groups.where(F.col(size) * heavy < total)
     return rows.join(large, on).unionByName(rows.join(large, on, "left_anti").join(small, on, how))

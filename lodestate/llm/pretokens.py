@@ -19,8 +19,10 @@ import re
 
 import numpy as np
 
+from .textops import power
+
 #: Texts share buffers of about so many bytes; a longer text is cut before white space.
-BUFFER_BYTES = 1 << 21
+BUFFER_BYTES = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _CLASS = np.full(256, _ODD, np.uint8)
@@ -32,12 +34,10 @@ _CLASS[ord("A") : ord("Z") + 1] = _CLASS[ord("a") : ord("z") + 1] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LATIN = 0xC3  # the first byte of U+00C0 to U+00FF in UTF-8
-_BASE = 0x9E3779B97F4A7C15
 #: Masks that keep the first n bytes of a little-endian word.
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 _TAIL = re.compile(rb"[^\x20\x09-\x0D](?=[\x20\x09-\x0D])")
-_powers: list[np.ndarray] = []
 
 
 def odd_space(unit: bytes) -> bool:
@@ -45,17 +45,6 @@ def odd_space(unit: bytes) -> bool:
     return _ODD_SPACE.search(unit.decode()) is not None
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(max(n, BUFFER_BYTES + 4096), base, np.uint64)
-            p[0] = 1
-            _powers.append(np.cumprod(p, dtype=np.uint64))
-    return [p[:n] for p in _powers]
-
-
 def classes(raw: np.ndarray) -> np.ndarray:
     """The class of every byte; both bytes of a Latin letter beyond ASCII are a letter's."""
     kind = _CLASS[raw]
@@ -146,7 +135,7 @@ def distinct(texts: list[bytes], kind: str):
         inside[stop[odd]] -= 1
         inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
         plain[:-8][inside] = raw[inside]
-    up, down = _power(len(raw) + 1)
+    up, down = power(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((plain[:-8].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     h = (sums[stop] - sums[start]) * down[start]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts are hashed in buffers of about so many bytes; a longer text is cut at white space.
-BUFFER_BYTES = 1 << 21
+BUFFER_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -23,7 +23,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64; one table for each worker."""
     if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, BUFFER_BYTES + 4096)
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
@@ -47,7 +48,7 @@ def _hash_words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     start, end = word_spans(data)
     if not len(start):
         return np.empty(0, np.uint64), start
-    up, down = _power(len(raw) + 1)
+    up, down = power(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start]), start

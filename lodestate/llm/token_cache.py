@@ -16,8 +16,8 @@ from array import array
 from .bpe_segment import byte_signs
 from .pretokens import buffers, distinct, odd_space
 
-#: Units held by one generation of the cache (two are held, each of about 80 MB); when one is full, the older goes.
-CACHE_UNITS = 400_000
+#: Units held by one generation of the cache (two are held, each of about 50 MB); when one is full, the older goes.
+CACHE_UNITS = 250_000
 #: Longer units are not held.
 CACHE_BYTES = 64
 

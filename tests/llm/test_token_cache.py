@@ -54,7 +54,7 @@ def test_segment_tree_on_fuzzed_texts(monkeypatch):
 @pytest.mark.parametrize(("kind", "name"), KINDS)
 def test_hash_collisions_are_noticed(kind, name, monkeypatch):
     texts = ["ab cd ef", "gh ij <|endoftext|> kl", ""]
-    monkeypatch.setattr(pretokens, "_power", lambda n: [np.zeros(n, np.uint64)] * 2)
+    monkeypatch.setattr(pretokens, "power", lambda n: [np.zeros(n, np.uint64)] * 2)
     assert pretokens.distinct([t.encode() for t in texts], kind) is None
     assert [x.tolist() for x in token_cache.Encoder(tokenizer(name), kind).encode(texts)] == library(name, texts)
     if kind == "word":
