@@ -144,12 +144,14 @@ def test_spread_prefers_new_domains(spark):
         assert len({n % 4 for n in own[:4]}) == 4 and len(set(own)) == 6  # then the least loaded nodes
 
 
-def test_linear_scorer_learns(spark):
+def test_linear_scorer_steps():
+    """Each weight moves by error * feature * rate, cut to whole parts, against the error that the weights before it leave."""
     m = fold.Linear(2)
-    for _ in range(200):
-        for x in range(10):
-            m.apply([x, 1], 30 * x)
-    assert abs(m.score([7, 1]) - 210) <= 60
+    assert m.apply([100, 1], 5000) == (0, 44955) and m.weights == [500, -45]  # 5000 * 100 / 1000, then -45000 / 1000
+    assert m.apply([0, -1], 0) == (45, 45000) and m.weights == [500, -45]  # -45 * -1 / 1000 is cut to nothing
+    m.weights = [m.LARGEST, 0]
+    m.apply([1, 0], 2**62)
+    assert m.weights == [m.LARGEST, 0]
 
 
 def test_catalog_and_phases():
