@@ -118,10 +118,11 @@ def semaphore_log(spark: SparkSession, sf_dir: str, groups: int = 20, capacity:
     return rows.unionByName(again).unionByName(first, allowMissingColumns=True)
 
 
-def stream_log(spark: SparkSession, sf_dir: str, shards: int = 4, keep: int | None = 50) -> DataFrame:
+def stream_log(spark: SparkSession, sf_dir: str, shards: int = 4, keep: int | None = 50, block: int | None = None) -> DataFrame:
     """The first row of a shard creates it, every row appends its props to its user's partition; before its append, the first
     row of each hour trims the shard to `keep` behind its next offset (no trims without). seq is three times the event's id,
-    plus 0 for a create, 1 for a trim, 2 for an append."""
+    plus 0 for a create, 1 for a trim, 2 for an append. With `block`, the first row of each `block` event ids trims too: as ids
+    are unique, a shard holds fewer than keep + block entries, however many events an hour has and whether or not hours come back."""
     e = table(spark, sf_dir, "events").select(
         (F.col("user_id") % shards).alias("key"), F.col("event_id").alias("seq"), F.expr(f"unix_micros(cast(ts as timestamp)) div {HOUR_US}").alias("hour"),
         F.col("user_id").alias("partition"), F.coalesce(F.octet_length("props"), F.lit(0)).cast("long").alias("payload_bytes"),
@@ -131,8 +132,9 @@ def stream_log(spark: SparkSession, sf_dir: str, shards: int = 4, keep: int | No
     log = appends.unionByName(creates, allowMissingColumns=True).withColumn("through", F.lit(keep).cast("long"))
     if keep is None:
         return log
-    trims = e.groupBy("key", "hour").agg((F.min("seq") * 3 + 1).alias("seq"), F.lit("trim_behind").alias("op"), F.lit(keep).cast("long").alias("through"))
-    return log.unionByName(trims.drop("hour"), allowMissingColumns=True)
+    e = e.withColumn("block", F.col("seq") - F.pmod(F.col("seq"), F.lit(block)) if block else F.lit(0))
+    trims = e.groupBy("key", "hour", "block").agg((F.min("seq") * 3 + 1).alias("seq"), F.lit("trim_behind").alias("op"), F.lit(keep).cast("long").alias("through"))
+    return log.unionByName(trims.drop("hour", "block"), allowMissingColumns=True)
 
 
 def retry_log(spark: SparkSession, sf_dir: str, sessions: int = 40, lag: int = 8) -> DataFrame:

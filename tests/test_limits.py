@@ -1,5 +1,7 @@
 """Limits of the reference that the given tables do not reach, by hand-made logs."""
 
+import pytest
+
 from lodestate import registry
 from lodestate.operators import fold, txn
 
@@ -36,6 +38,28 @@ def test_stream_outcomes(spark):
     assert {r["key"]: r["count"] for r in full.groupBy("key").count().collect()} == dict.fromkeys(range(4), 1024)
 
 
+@pytest.mark.parametrize("make", [
+    f"SELECT event_id + i * 1000000 AS event_id, ts, user_id + i * 1000 AS user_id, event_type, value, props FROM read_parquet('{SF}/events.parquet'), range(8) r(i)",
+    "SELECT i - 2500 AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i) AS ts, i % 3 * 4 AS user_id, 'view' AS event_type, 1.0 AS value, '{}' AS props FROM range(5000) r(i)",
+])
+def test_stream_append_never_fills(spark, tmp_path, make):
+    """Hours that come back in later copies of a table, and an hour with more events than a shard may hold: as its SQL, no event is
+    lost, and no shard is near its limit."""
+    import duckdb
+    from lodestate.sources import oplog
+
+    con = duckdb.connect()
+    con.execute(f"copy ({make}) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    found = con.execute(registry.ORACLE_SQL["stream_append"])
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall())
+    assert sorted(map(tuple, registry.QUERIES["stream_append"](spark, str(tmp_path)).select(names).collect())) == want and len(want) >= 5000
+    full = fold.streams(oplog.stream_log(spark, str(tmp_path))).where("status = 'StreamFull'").count()
+    most = fold.streams(oplog.stream_log(spark, str(tmp_path), block=512)).agg({"retained": "max"}).first()[0]
+    assert full and most <= 49 + 512
+
+
 def test_escrow_capacity(spark):
     """A recipient at its capacity takes nothing, a donor keeps what its value needs, and that is found first."""
     top = 2**63 - 1
